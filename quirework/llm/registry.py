@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding
+from . import bpe, language_id, sharding
 
-MODULES = (language_id, sharding)
+MODULES = (language_id, bpe, sharding)
 
 
 def queries() -> dict:
