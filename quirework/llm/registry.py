@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, sharding
+from . import bpe, language_id, sharding, simhash
 
-MODULES = (language_id, bpe, sharding)
+MODULES = (language_id, bpe, sharding, simhash)
 
 
 def queries() -> dict:
