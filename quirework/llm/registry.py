@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, sharding, simhash
+from . import bpe, chat, language_id, mixing, sharding, simhash
 
-MODULES = (language_id, bpe, sharding, simhash)
+MODULES = (language_id, bpe, sharding, chat, mixing, simhash)
 
 
 def queries() -> dict:
