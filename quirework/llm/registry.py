@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language_id, line_dedup, mixing, sharding, simhash
+from . import bpe, chat, kdtree, language_id, line_dedup, mixing, sharding, simhash
 
-MODULES = (language_id, bpe, sharding, chat, mixing, simhash, line_dedup)
+MODULES = (language_id, bpe, sharding, kdtree, chat, mixing, simhash, line_dedup)
 
 
 def queries() -> dict:
