@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents pass the operators of `quirework.llm` one after another."""
+"""The corpus pipeline: documents pass the operators of `quirework.llm` one after another.
+
+Each stage handles nulls, empty and long texts, repeated rows, empty tables and extra columns as its operator's module
+says. All stages but the last return the columns of the documents they get.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import language_id
+from quirework.llm import bpe, language_id, line_dedup, mixing, simhash
+from quirework.llm._common import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,19 +21,44 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_accepted(docs, language_id.train(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", identify_language)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines; those that were nothing else go."""
+    return line_dedup.drop_repeated_runs(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies, and all others."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that the sources have flattened shares; every document occurs once at least."""
+    counts = mixing.source_counts(docs)
+    weights = mixing.flattened_weights(counts)
+    decided = mixing.copies(docs, weights, mixing.total_without_loss(counts, weights), counts=counts)
+    return mixing.repeat_rows(docs, decided)
 
-#: no stage but the first could be put in SQL
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the token ids of each text, decoded again as a check."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", encode_text),
+]
+
+#: the stages' hashes, vectors and merges can't be put in SQL
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each stage's rows are written to the shared folder and read by the next."""
-    from quirework.llm._common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, kdtree, language_id, line_dedup, mixing, sharding, simhash, warc
+from . import bpe, chat, kdtree, language_id, line_dedup, media, mixing, sharding, simhash, warc
 
-MODULES = (language_id, warc, bpe, sharding, kdtree, chat, mixing, simhash, line_dedup)
+MODULES = (language_id, warc, bpe, sharding, kdtree, chat, mixing, simhash, line_dedup, media)
 
 
 def queries() -> dict:
