@@ -28,6 +28,10 @@ def equal_bounds(width: float, parts: int = 5) -> list[float]:
     return [width / parts * k for k in range(1, parts)]
 
 
+def _between(low: int, high: int):
+    return lambda n: (n > low) & (n <= high)  # a second argument would be the element's index
+
+
 def line_features(lines: DataFrame, *, text: str = "text", width: str | None = None, stop_words: list[str] | None = None, bounds: list = WIDTHS, boundaries: bool = False) -> DataFrame:
     """The counts of `doc_stats` for each line, beside the line's columns."""
     words = T.boundary_words(F.col(text)) if boundaries else T.space_words(F.col(text))
@@ -40,7 +44,7 @@ def line_features(lines: DataFrame, *, text: str = "text", width: str | None = N
     lengths = F.transform(w, F.length)
     cols["num_oversized_words"] = F.size(F.filter(lengths, lambda n: n > T.MAX_WORD_LENGTH))
     for high in range(T.LENGTH_STEP, T.MAX_WORD_LENGTH + 1, T.LENGTH_STEP):
-        cols[f"num_words_length_{high}"] = F.size(F.filter(lengths, lambda n, high=high: (n > high - T.LENGTH_STEP) & (n <= high)))
+        cols[f"num_words_length_{high}"] = F.size(F.filter(lengths, _between(high - T.LENGTH_STEP, high)))
     cols["__wpl"] = T.line_bin(F.size("__f"))
     cols["__awpl"] = T.line_bin(T.count_like(F.col("__f"), T.ALPHA))
     out = out.withColumns(cols)
