@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import geo_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, geo_queries)
 
 
 def queries() -> dict:
