@@ -1,179 +1,249 @@
 """Removal of repeated runs of lines with a distributed suffix array.
 
-A document is the sequence of its lines' ids (64-bit hashes). Suffixes are ranked by prefix doubling: at first by their
-line's id, then in each round, among those of equal rank, by the rank of the suffix 2^k lines on. A rank is the pair of
-the first id and the number of smaller suffixes that begin with that id, so that each round refines every class by a
-window over the class alone, without a global sort; a suffix whose rank is unique takes no further part. A line that
-occurs once in the whole corpus ends every run and is never in play. The ranks of all rounds give the longest common
-prefix of neighbours in the suffix array by binary lifting. A scan with a stack over each first id's part of the array
-walks its LCP intervals and yields for every suffix the longest run of lines that also stands at an earlier place (by
-document id, then line): the maximal repeated runs. If such a run has at least `min_words` words, its lines are deleted
-at the later place.
+A text is the sequence of its lines' ids (64-bit hashes). A line that occurs in one place of the corpus only ends every
+run and is never in play. Suffixes are named by their first four lines' ids, read in each text; then prefix doubling
+refines the names, two doublings in a round: among suffixes of one name, they are ranked by the names of the suffixes
+L, 2 L and 3 L lines on, in a window over the name's class alone, so that no round sorts the whole array; a suffix whose
+name is unique, or that ends within the lines compared, takes no further part. The suffixes that share their first
+lines up to `min_words` words, in array order, are neighbours; their longest common prefixes are read off the texts of
+both (the next suffix of the same two texts shares one line less). A scan with a stack walks the LCP intervals and
+yields for every suffix the longest run of lines that also stands at an earlier place (by document id, then line): the
+maximal repeated runs with at least `min_words` words. Their lines are deleted at the later place. Exact copies of a
+text enter the array once; all lines of the later ones go, if the text has `min_words` words.
 
 Defined results: a null text stays null and an empty one empty; a document that loses lines keeps the others, joined by
-newlines; one that loses all of them goes; documents are ordered by id, a null id last, then by hashes of id and text;
-rows that repeat an id and a text are one document and all get its result; ties between equal runs go to the first
-place; a run may repeat within one document, too; an empty table gives an empty result; other columns are kept, by any
-name. Words are counted as the gaps between them, by spaces.
+newlines; one that loses all of them goes; documents are ordered by id, a null id last, then by hashes of the text; rows
+that repeat an id and a text are one document and all get its result; ties between equal runs go to the first place; a
+run may repeat within one document, too; an empty table gives an empty result; other columns are kept, by any name.
+Words are counted as the gaps between them, by spaces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
+from ._hashing import mix
 
 MIN_WORDS = 25
+#: lines that name a suffix before the first round
+FIRST = 4
 _KEY = ["k", "k2"]
 _PLACE = [*_KEY, "at"]
+_END = -(1 << 63)
 
 
-def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.lit(1), id_col, text_col), F.xxhash64(F.lit(2), text_col, id_col)
+def _keys(text_col: str) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col))
 
 
-def document_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, k and k2 (the document's key), at, h (line id) and words of every line."""
-    k, k2 = _keys(id_col, text_col)
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "line"))
-    words = F.when(F.trim("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return lines.select("id", *_PLACE, F.xxhash64("line").alias("h"), words.alias("words"))
+def _words(line: Column) -> Column:
+    return F.when(F.trim(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """The lines whose id occurs twice or more, with `left` (lines from here on that do so, too) and `upto` (words)."""
-    many = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    own = lines.join(many, "h").dropDuplicates(_PLACE)
-    doc = Window.partitionBy(*_KEY).orderBy("at")
-    own = own.withColumn("run", F.col("at") - F.row_number().over(doc)).withColumn("upto", F.sum("words").over(doc))
-    left = F.max("at").over(Window.partitionBy(*_KEY, "run")) - F.col("at") + 1
-    return own.select("id", *_PLACE, "h", "words", "upto", left.alias("left"))
+def _lines(text_col: str) -> Column:
+    return F.split(F.col(text_col), "\n", -1)
+
+
+def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k, k2, first (the smallest id, nulls last) and copied (whether other ids have the text, too) of every text."""
+    k, k2 = _keys(text_col)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"))
+    found = texts.groupBy(*_KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("null"))
+    return found.select(*_KEY, "first", (F.col("first").isNotNull() & (F.col("null") | (F.col("first") < F.col("last")))).alias("copied"))
+
+
+def repeated_lines(docs: DataFrame, copied: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each text with repeated lines: id, k, k2 and, line by line, at, h (line id) and w (words)."""
+    k, k2 = _keys(text_col)
+    some = docs.where(F.col(text_col).isNotNull())
+    many = some.select(F.explode(_lines(text_col)).alias("line")).select(F.xxhash64("line").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    lines = some.select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"), F.posexplode(_lines(text_col)).alias("at", "line"))
+    own = lines.select("id", *_PLACE, F.xxhash64("line").alias("h"), _words(F.col("line")).alias("w")).join(many, "h")
+    later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
+    firsts = own.join(copied, _KEY, "left").where(~later)
+    lists = firsts.groupBy(*_KEY).agg(F.min("id").alias("id"), F.array_sort(F.collect_set(F.struct("at", "h", "w"))).alias("l"))
+    return lists.select("id", *_KEY, F.col("l.at").alias("at"), F.col("l.h").alias("h"), F.col("l.w").alias("w"))
+
 
+def _flat(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False)
 
-def suffix_array(lines: DataFrame) -> DataFrame:
-    """`lines` with r (rank among the suffixes with the same first id) and ranks (by 1, 2, 4 ... whole lines).
 
-    Two suffixes agree in 2^m lines just if their h and the m-th of their ranks agree.
+def suffixes(texts: DataFrame, min_words: int) -> DataFrame:
+    """A row for each suffix of repeated lines: its place, left (lines to the end of its run), name (the first lines'
+    ids and a rank, 0), and g and m: hash and number of the first lines that hold `min_words` words, null if none do."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
+                at, h, w = (_flat(b.column(c)) for c in (3, 4, 5))
+                n = len(at)
+                if not n:
+                    continue
+                sizes = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                breaks = np.ones(n, bool)
+                breaks[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+                starts = np.flatnonzero(breaks)
+                ends = np.append(starts[1:], n)
+                run_of = np.cumsum(breaks) - 1
+                place = np.arange(n)
+                left = ends[run_of] - place
+                upto = np.cumsum(w.astype(np.int64))
+                last = np.searchsorted(upto, upto - w + min_words)  # the line that brings the words to min_words
+                enough = last < ends[run_of]
+                names = np.full((n, FIRST + 1), _END, np.int64)
+                names[:, FIRST] = 0
+                for i in range(FIRST):
+                    on = left > i
+                    names[on, i] = h[place[on] + i]
+                with np.errstate(over="ignore"):
+                    # a hash of each range of lines from prefix sums of powers
+                    base = np.uint64(0x9E3779B97F4A7C15)
+                    inner = place - starts[run_of]
+                    power = np.cumprod(np.full(int(inner.max()) + 2, base, np.uint64))
+                    terms = mix(h.view(np.uint64)) * power[inner]
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+                    inverse = np.cumprod(np.full(len(power), np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+                    stop = np.where(enough, last, place)
+                    g = mix((total[stop + 1] - total[place]) * inverse[inner])
+                take = pa.array(row)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * (FIRST + 1) + 1, FIRST + 1, dtype=np.int32)), pa.array(names.ravel()))
+                m = (stop - place + 1).astype(np.int32)
+                cols = [b.column(c).take(take) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int32)), pa.array(left.astype(np.int32)), lists, pa.array(g.view(np.int64), mask=~enough), pa.array(m, mask=~enough)], ["id", "k", "k2", "at", "left", "name", "g", "m"])
+
+    return texts.mapInArrow(run, f"id {id_type}, k long, k2 long, at int, left int, name array<long>, g long, m int")
+
+
+def suffix_array(sfx: DataFrame) -> DataFrame:
+    """`sfx` with names whose order is that of the suffixes; equal names are equal suffixes.
+
+    Prefix doubling, two doublings in a round: names of L lines become names of 4 L lines. A suffix of exactly L lines
+    stays for the round that tells it from longer ones.
     """
-    now = lines.select("*", F.lit(0).cast("long").alias("r"), F.array(F.lit(0).cast("long")).alias("ranks"), F.lit(True).alias("open"))
+    same = Window.partitionBy("c")
+    now = sfx.withColumn("c", F.xxhash64(F.slice("name", 1, FIRST))).withColumn("open", (F.count("*").over(same) > 1) & (F.col("left") >= FIRST))
+    now = materialise(now, "named")
     done: DataFrame | None = None
-    step = 1
-    while True:
-        every = now if done is None else now.unionByName(done)
-        ahead = every.select(*_KEY, (F.col("at") - step).alias("at"), F.col("h").alias("h2"), F.col("r").alias("r2"))
-        klass = Window.partitionBy("h", "r")
-        order = klass.orderBy(F.col("h2").asc_nulls_first(), F.col("r2").asc_nulls_first())
-        ranked = (
-            now.join(ahead, _PLACE, "left")
-            .withColumn("new", F.col("r") + F.rank().over(order) - 1)
-            .withColumn("many", F.count("*").over(Window.partitionBy("h", "r", "h2", "r2")))
-            .withColumn("whole", F.col("left") >= 2 * step)
-            .select(
-                *lines.columns,
-                F.col("new").cast("long").alias("r"),
-                F.when(F.col("whole"), F.concat("ranks", F.array(F.col("new").cast("long")))).otherwise(F.col("ranks")).alias("ranks"),
-                (F.col("whole") & (F.col("many") > 1)).alias("open"),
-            )
-        )
-        ranked = materialise(ranked, "ranks")
-        closed = ranked.where("not open")
-        done = closed if done is None else done.unionByName(closed)
-        now = ranked.where("open")
-        step *= 2
-        if now.isEmpty():
-            return done.drop("open")
-
-
-def _common(a: str, b: str) -> Column:
-    """Lines that suffixes surely agree in, from their ranks: the largest power of 2."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
-    return F.when(same > 0, F.pow(F.lit(2.0), same - 1).cast("int")).otherwise(0)
-
-
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """`suffixes` in array order with lcp, the lines shared with the suffix before (0 for the first of an id)."""
-    w = Window.partitionBy("h").orderBy("r", F.col("id").asc_nulls_last(), *_PLACE)
-    by_place = Window.partitionBy("h").orderBy(F.col("id").asc_nulls_last(), *_PLACE)
-    lag = {f"p_{c}": F.lag(c).over(w) for c in [*_PLACE, "ranks", "left"]}
-    pairs = suffixes.withColumns(lag).withColumn("ord", F.row_number().over(by_place))
-    pairs = pairs.withColumn("lcp", F.when(F.col("p_at").isNull(), 0).otherwise(_common("ranks", "p_ranks")))
-    limit = F.least("left", "p_left")
-    keep = ["h", "r", "ord", *_PLACE, "words", "upto", "p_k", "p_k2", "p_at", "lcp"]
-    pairs = materialise(pairs.select(*keep, limit.alias("most"), ((F.col("lcp") > 0) & (F.col("lcp") < limit)).alias("open")), "neighbours")
-    look = suffixes.select(*_PLACE, F.col("h").alias("lh"), F.col("ranks").alias("lranks"))
-    parts = []
-    while True:
-        parts.append(pairs.where("not open"))
-        now = pairs.where("open")
-        if now.isEmpty():
-            break
-        mine = look.toDF("a_k", "a_k2", "a_at", "a_h", "a_ranks")
-        theirs = look.toDF("b_k", "b_k2", "b_at", "b_h", "b_ranks")
-        on = now.join(mine, (now.k == mine.a_k) & (now.k2 == mine.a_k2) & (now.at + now.lcp == mine.a_at))
-        on = on.join(theirs, (on.p_k == theirs.b_k) & (on.p_k2 == theirs.b_k2) & (on.p_at + on.lcp == theirs.b_at))
-        more = F.when(F.col("a_h") == F.col("b_h"), _common("a_ranks", "b_ranks")).otherwise(0)
-        on = on.withColumn("more", more).withColumn("lcp", F.col("lcp") + F.col("more"))
-        pairs = materialise(on.select(*keep, "most", ((F.col("more") > 0) & (F.col("lcp") < F.col("most"))).alias("open")), "neighbours")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    step = FIRST
+    while not now.where("open").isEmpty():
+        doc = Window.partitionBy(*_KEY).orderBy("at")
+        ahead = [F.when(F.col("left") > i * step, F.max("name").over(doc.rangeBetween(i * step, i * step))) for i in (1, 2, 3)]
+        seen = now.withColumns({f"a{i}": a for i, a in enumerate(ahead, 1)})
+        order = Window.partitionBy("c", F.element_at("name", -1)).orderBy(*[F.col(f"a{i}").asc_nulls_first() for i in (1, 2, 3)])
+        three = F.struct("a1", "a2", "a3")
+        ranked = seen.where("open").withColumns({"rank": F.rank().over(order) - 1, "__p": F.lag(three).over(order), "__n": F.lead(three).over(order)})
+        again = F.coalesce(F.col("__p") == three, F.lit(False)) | F.coalesce(F.col("__n") == three, F.lit(False))
+        name = F.concat(F.slice("name", 1, FIRST), F.array(F.element_at("name", -1) + F.col("rank")))
+        ranked = ranked.select("id", *_PLACE, "left", name.alias("name"), "g", "m", "c", ((F.col("left") >= 4 * step) & again).alias("open"))
+        now = materialise(ranked.unionByName(now.where("not open")), "ranked")
+        step *= 4
+    return now
+
+
+def neighbours(array: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the suffixes that share their first `min_words` words with another, in array order: g, seq (place in it), ord
+    (place in the corpus), place and lcp with the one before (0 for the first)."""
+    own = array.where("g is not null")
+    by_place = [F.col("id").asc_nulls_last(), *_PLACE]
+    w = Window.partitionBy("g").orderBy("name", *by_place)
+    cols = {f"p_{c}": F.lag(c).over(w) for c in [*_PLACE, "left"]}
+    own = own.withColumns(cols | {"seq": F.row_number().over(w), "__next": F.lead("at").over(w)}).where("p_at is not null or __next is not null")
+    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy(*by_place)))
+    most = F.least("left", "p_left")
+    keep = own.select("g", "seq", "ord", *_PLACE, "p_k", "p_k2", "p_at", "m", most.alias("most"))
+    keep = materialise(keep, "neighbours")
+    known = F.when(F.col("p_at").isNull(), 0).when(F.col("m") == F.col("most"), F.col("m"))
+    sure = keep.where(F.col("p_at").isNull() | (F.col("m") == F.col("most"))).select("g", "seq", "ord", *_PLACE, known.alias("lcp"))
+    unsure = keep.where("p_at is not null and m < most")
+    row = F.struct("at", "p_at", "m", "most", "g", "seq", "ord")
+    by_pair = unsure.groupBy(*_KEY, "p_k", "p_k2").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    mine = texts.select(*_KEY, F.col("at").alias("a_at"), F.col("h").alias("a_h"))
+    theirs = texts.select(F.col("k").alias("p_k"), F.col("k2").alias("p_k2"), F.col("at").alias("b_at"), F.col("h").alias("b_h"))
+    both = by_pair.join(mine, _KEY).join(theirs, ["p_k", "p_k2"]).select(*_KEY, "rows", "a_at", "a_h", "b_at", "b_h")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in range(b.num_rows):
+                k, k2 = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                a_at, a_h, b_at, b_h = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
+                gap = end = None  # of the last comparison: how far the two texts are apart, and where they stop agreeing
+                rows = b.column(2)[r].values
+                fields = [f.to_numpy(zero_copy_only=False).tolist() for f in rows.flatten()]
+                for at, p_at, m, most, g, seq, o in zip(*fields):
+                    if gap != p_at - at or end is None or end - at < m:
+                        x, y = np.searchsorted(a_at, at), np.searchsorted(b_at, p_at)
+                        n, step = m, 64
+                        while n < most:
+                            to = min(most, n + step)
+                            differ = np.flatnonzero(a_h[x + n : x + to] != b_h[y + n : y + to])
+                            if len(differ):
+                                n += int(differ[0])
+                                break
+                            n, step = to, step * 4
+                        gap, end = p_at - at, at + n
+                    out.append((g, seq, o, k, k2, at, min(most, end - at)))
+            if out:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["g", "seq", "ord", *_PLACE, "lcp"])
+
+    found = both.mapInArrow(compare, "g long, seq int, ord int, k long, k2 long, at int, lcp int")
+    return sure.unionByName(found)
 
 
 def earlier_runs(pairs: DataFrame) -> DataFrame:
-    """For each suffix of which a beginning also stands earlier, the most lines: k, k2, at, best, words before it."""
+    """For each suffix of which a beginning also stands earlier: k, k2, at and the most lines (best)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        stack: list[list] = []  # [ord, lcp with the one below, row]; ord grows upwards
+        stack: list[list] = []  # [ord, lcp with the one below, place]; ord grows upwards
         first = None
 
         def close(entry: list, right: int) -> None:
             best = max(entry[1], right)
             if best:
-                k, k2, at, before = entry[2]
-                out.append((k, k2, at, best, before))
+                out.append((*entry[2], best))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 5
+            cols = list(zip(*out)) or [()] * 4
             out.clear()
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["k", "k2", "at", "best", "before"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], [*_PLACE, "best"])
 
         for b in batches:
-            for h, o, lcp, k, k2, at, before in zip(*(c.to_pylist() for c in b.columns)):
-                if h != first:
+            for g, o, lcp, *place in zip(*(c.to_pylist() for c in b.columns)):
+                if g != first:
                     while stack:
                         close(stack.pop(), 0)
-                    first = h
+                    first = g
                 while stack and stack[-1][0] > o:
                     top = stack.pop()
                     close(top, lcp)
                     lcp = min(lcp, top[1])
-                stack.append([o, lcp if stack else 0, (k, k2, at, before)])
+                stack.append([o, lcp if stack else 0, place])
             if out:
                 yield flush()
         while stack:
             close(stack.pop(), 0)
         yield flush()
 
-    rows = pairs.select("h", "r", "ord", "lcp", *_PLACE, (F.col("upto") - F.col("words")).alias("before"))
-    rows = rows.repartition("h").sortWithinPartitions("h", "r", "ord").drop("r")
-    return rows.select("h", "ord", "lcp", *_PLACE, "before").mapInArrow(run, "k long, k2 long, at int, best int, before long")
+    rows = pairs.repartition("g").sortWithinPartitions("g", "seq")
+    return rows.select("g", "ord", "lcp", *_PLACE).mapInArrow(run, "k long, k2 long, at int, best int")
 
 
-def deleted_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """k, k2 and ranges (array of start and end, apart from each other) of the lines to delete, by document."""
-    lines = materialise(document_lines(docs, id_col=id_col, text_col=text_col), "lines")
-    own = materialise(repeated_lines(lines), "repeated")
-    found = earlier_runs(neighbours(suffix_array(own)))
-    ends = own.select("k", "k2", (F.col("at") + 1).alias("to"), "upto")
-    found = found.withColumn("to", F.col("at") + F.col("best")).join(ends, ["k", "k2", "to"])
-    found = found.where(F.col("upto") - F.col("before") >= min_words)
+def deleted_ranges(docs: DataFrame, copied: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """k, k2 and ranges (array of start and end, apart from each other) of the lines to delete in a text's first document."""
+    texts = materialise(repeated_lines(docs, copied, id_col, text_col), "repeated")
+    found = earlier_runs(neighbours(suffix_array(suffixes(texts, min_words)), texts)).withColumn("to", F.col("at") + F.col("best"))
     doc = Window.partitionBy(*_KEY).orderBy("at")
     reach = F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("at")).cast("int")).withColumn("island", F.sum("fresh").over(doc))
@@ -183,19 +253,26 @@ def deleted_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def _edited(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """`docs` with its text edited and the columns __qw_left and __qw_deleted (lines)."""
-    ranges = deleted_ranges(docs, id_col=id_col, text_col=text_col, min_words=min_words).toDF("__qw_k", "__qw_k2", "__qw_ranges")
-    k, k2 = _keys(id_col, text_col)
-    joined = docs.withColumns({"__qw_a": k, "__qw_b": k2}).join(ranges, (F.col("__qw_a") == F.col("__qw_k")) & (F.col("__qw_b") == F.col("__qw_k2")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    copied = materialise(text_units(docs, id_col, text_col).where("copied").select(*_KEY, "first"), "copied")
+    ranges = deleted_ranges(docs, copied, id_col=id_col, text_col=text_col, min_words=min_words)
+    hits = materialise(ranges.join(copied, _KEY, "full_outer"), "hits").toDF("__qw_k", "__qw_k2", "__qw_ranges", "__qw_first")
+    k, k2 = _keys(text_col)
+    same = (F.col("__qw_a") == F.col("__qw_k")) & (F.col("__qw_b") == F.col("__qw_k2"))
+    # the texts are shuffled but not sorted: a hash table holds the texts that lose lines
+    joined = docs.withColumns({"__qw_a": k, "__qw_b": k2}).join(hits.hint("shuffle_hash"), same, "left")
+    lines = _lines(text_col)
+    later = F.col("__qw_first").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) > F.col("__qw_first")))
+    words = F.aggregate(F.transform(lines, _words), F.lit(0), lambda s, n: s + n)
+    all_gone = later & (words >= min_words)
     gone = lambda i: F.exists("__qw_ranges", lambda r: (i >= r["s"]) & (i < r["e"]))
     kept = F.filter(lines, lambda line, i: ~gone(i))
-    hit = F.col("__qw_ranges").isNotNull()
-    deleted = F.when(hit, F.aggregate("__qw_ranges", F.lit(0), lambda acc, r: acc + r["e"] - r["s"])).otherwise(0)
-    return joined.withColumns(
+    some_gone = ~later & F.col("__qw_ranges").isNotNull()
+    deleted = F.when(all_gone, F.size(lines)).when(some_gone, F.aggregate("__qw_ranges", F.lit(0), lambda acc, r: acc + r["e"] - r["s"])).otherwise(0)
+    out = joined.withColumns({"__qw_deleted": deleted, "__qw_all": F.when(F.col("__qw_k").isNull(), 1).otherwise(F.size(lines))})
+    return out.withColumns(
         {
-            "__qw_deleted": deleted,
-            "__qw_left": F.when(hit, F.size(lines) - deleted).otherwise(1),
-            text_col: F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col)),
+            "__qw_left": F.when(F.col("__qw_deleted") > 0, F.col("__qw_all") - F.col("__qw_deleted")).otherwise(1),
+            text_col: F.when(F.col("__qw_deleted") == 0, F.col(text_col)).when(some_gone, F.array_join(kept, "\n")),
         }
     )
 
