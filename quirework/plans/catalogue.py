@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geo_queries, inventory_queries, search_queries, source_queries, text_queries
+from . import column_queries, geo_queries, inventory_queries, search_queries, source_queries, text_queries
 
-MODULES = (text_queries, inventory_queries, search_queries, geo_queries, source_queries)
+MODULES = (text_queries, inventory_queries, search_queries, geo_queries, column_queries, source_queries)
 
 
 def queries() -> dict:
