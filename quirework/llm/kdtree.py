@@ -29,6 +29,8 @@ from ._common import materialise, partitions_for
 K = 10
 LEAF = 256
 ROWS_PER_SHARD = 8_192
+#: the shards' boxes, which all tasks hold, have at most so many bytes; beyond that shards get larger instead of more
+BOX_BYTES = 64 << 20
 #: vectors that fit the router; they decide about speed only
 ROUTER_ROWS = 20_000
 _GROUP = 256
@@ -169,6 +171,7 @@ def nearest(df: DataFrame, *, k: int = K, id_col: str = "vec_id", vec_col: str =
     rows, dims = clean_vectors(df, id_col, vec_col)
     rows = materialise(rows, "vectors")
     total = rows.count()
+    rows_per_shard = max(rows_per_shard, 2 * total * 16 * max(dims, 1) // BOX_BYTES)
     cells = 1
     while cells * rows_per_shard < total:
         cells *= 2

@@ -23,6 +23,8 @@ from ._common import materialise, partitions_for
 
 UNITS_PER_BUCKET = 20_000
 FAN_IN = 64
+#: with more sources than this, units are joined with them by a shuffle
+BROADCAST_SOURCES = 100_000
 SEED = 7
 #: exponent of the flattened source shares
 ALPHA = 0.8
@@ -105,7 +107,9 @@ def copies(docs: DataFrame, weights: dict, total: float, *, counts: dict | None
     ids = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"))
     expected = [(s, float(weights.get(s, 0.0)) * total / n) for s, n in counts.items()]
     source_type, id_type = ids.schema["source"].dataType.simpleString(), ids.schema["id"].dataType.simpleString()
-    table = F.broadcast(spark.createDataFrame(expected, f"s {source_type}, e double"))  # a row for each source
+    table = spark.createDataFrame(expected, f"s {source_type}, e double")  # a row for each source
+    if len(expected) <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     buckets = partitions_for(sum(counts.values()), UNITS_PER_BUCKET)
     units = (
         ids.distinct()
