@@ -3,7 +3,8 @@
 Resolution shuffles headers only, by payload digest: the earliest response with a payload is the digest's original (by
 date, then record id, nulls last); every other response with that digest and every revisit record becomes a revisit of
 the original, which is named in its fresh headers; a revisit whose digest has no response is kept and stays unresolved.
-Payloads are joined back to the originals alone and written to gzip archives, one member for each record.
+Payloads are joined back to the originals alone and written to gzip archives, one member for each record and one archive
+for each partition of the shuffle.
 
 Defined results: a record without a digest gets the digest of its payload, and one without a payload, too, is unresolved
 unless it is a response, which then is an original with an empty payload of its own; equal records are each kept, all
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ._common import materialise, partitions_for, scratch
+from ._common import materialise, scratch
 
-RECORDS_PER_ARCHIVE = 50_000
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, refers_to_date string, payload binary"
 READ_SCHEMA = SCHEMA + ", archive string, offset long, length long"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -241,16 +241,16 @@ def write_resolved(records: DataFrame, path: str) -> DataFrame:
     spark.dataSource.register(WarcSource)
     heads = materialise(resolve_headers(records), "headers")
     payloads = records.where(F.col("payload").isNotNull() & F.coalesce(F.col("warc_type") != "revisit", F.lit(True)))
-    payloads = payloads.select(F.col("record_id").alias("p_id"), F.col("warc_date").alias("p_date"), F.concat(F.lit("sha1:"), F.sha1("payload")).alias("p_real"), F.coalesce("payload_digest", F.concat(F.lit("sha1:"), F.sha1("payload"))).alias("p_digest"), "payload")
-    mine = heads.where("resolution = 'original'")
-    full = mine.join(payloads, mine.record_id.eqNullSafe(payloads.p_id) & mine.warc_date.eqNullSafe(payloads.p_date) & (mine.payload_digest == payloads.p_digest), "left")
-    # equal records have equal payloads: one of them
-    full = full.withColumn("__n", F.row_number().over(Window.partitionBy("record_id", "warc_date", "payload_digest").orderBy("p_real"))).where("__n = 1")
-    rest = heads.where("resolution <> 'original'").withColumn("payload", F.lit(None).cast("binary"))
+    key = lambda: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in ("record_id", "warc_date", "payload_digest")])
+    payloads = payloads.withColumn("payload_digest", F.coalesce("payload_digest", F.concat(F.lit("sha1:"), F.sha1("payload")))).select(key().alias("p_key"), "payload")
+    # payloads are shuffled once: the join, the choice among equal records and the archives share a partitioning; the
+    # keys of records without a payload meet none
+    original = F.col("resolution") == "original"
+    keyed = heads.withColumn("p_key", F.when(original, key()).otherwise(F.concat(F.lit("/"), key())))
+    turn = F.row_number().over(Window.partitionBy("p_key").orderBy(F.xxhash64("payload")))
+    full = keyed.join(payloads, "p_key", "left").withColumn("__n", turn).where(~original | (F.col("__n") == 1))
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    parts = partitions_for(heads.count(), RECORDS_PER_ARCHIVE)
-    out = full.select(names).union(rest.select(names)).repartition(parts, F.xxhash64("payload_digest", "record_id"))
-    out.sortWithinPartitions("warc_date", "record_id").write.format("warc").mode("append").option("path", path).save()
+    full.select(names).sortWithinPartitions("warc_date", "record_id").write.format("warc").mode("append").option("path", path).save()
     return heads
 
 
