@@ -181,7 +181,10 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def write_archives(df: DataFrame, path: str, *, name_col: str, payload_col: str, archives: int) -> None:
-    """ZIP archives with one member for each row that has a name and a payload; files appear whole, or not at all."""
+    """ZIP archives with one member for each row that has a name and a payload; files appear whole, or not at all.
+
+    Payloads aren't shuffled: a partition of `df` makes an archive, at most `archives` of them.
+    """
     folder = _local(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def write_archives(df: DataFrame, path: str, *, name_col: str, payload_col: str,
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = df.where(F.col(name_col).isNotNull() & F.col(payload_col).isNotNull()).select(F.col(name_col).cast("string").alias("name"), F.col(payload_col).cast("binary").alias("payload"))
-    rows.repartition(archives, "name").sortWithinPartitions("name").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    rows.coalesce(archives).mapInArrow(write, "n long").agg(F.sum("n")).collect()
     if os.path.isdir(folder):
         for f in os.listdir(folder):
             if f.startswith("_part-"):
