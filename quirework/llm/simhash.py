@@ -1,13 +1,14 @@
-"""Near-duplicate groups by SimHash, a byte-position inverted index and count filtering.
-
-A document's fingerprint has 16 bytes in two halves of 8: bit by bit the sign of the sum of its distinct folded words'
-hash bits, a word that occurs c times weighing log2(1 + c). A half that differs in at most 5 bits shares at least 3 of
-its 8 bytes at the same positions (the guaranteed minimum, as 5 bits touch 5 bytes at most); so any two fingerprints
-within 11 bits share 3 positional bytes in one half at least. The inverted index lists fingerprints under every three
-positional bytes of a half (56 for each half), so that a pair that reaches the minimum, and only such a pair, meets;
-its shared bytes are tallied, it is taken in the list of its first three shared bytes alone, and verified by the
-distance over all 128 bits. Lists whose members are copies of each other are walked from member to member over those
-not reached yet, which gives the same groups without writing every pair.
+"""Near-duplicate groups by SimHash, a positional inverted index and count filtering.
+
+A document's fingerprint has 128 bits: bit by bit the sign of the sum of its distinct folded words' hash bits, a word
+that occurs c times weighing log2(1 + c). Its first 126 bits are 7 blocks of 6 units of 3 bits. Two fingerprints within
+20 bits differ in at most 2 bits of one block at least (7 blocks of 3 would be 21), and so share at least 4 of its 6
+units at the same positions: the guaranteed minimum. The inverted index lists fingerprints under every four positional
+units of a block (15 for each block), so that every pair within 20 bits meets; pairs that meet are verified by the
+distance over all 128 bits, and a near one is taken in the list of its first four shared units alone. In long lists the
+members without a near one are sorted out first, and the others are walked from member to member over those not reached
+yet, which gives the same groups without writing every pair. The pairs that meet grow with the square of the number of
+fingerprints, as keys that give the guarantee are short.
 
 Groups are the connected components of verified pairs. Exact copies have one fingerprint and enter the index once.
 
@@ -29,17 +30,20 @@ from pyspark.sql import functions as F
 from ._common import materialise, partitions_for, text_slices, unit_hash
 from ._hashing import mix, string_buffers, word_hashes
 
-MIN_SHARED = 3
+BLOCKS, UNITS, UNIT_BITS = 7, 6, 3
 #: a pair is near at this distance of 128 bits or less
 MAX_DISTANCE = 20
+#: units of one block at least that near fingerprints share
+MIN_SHARED = UNITS - MAX_DISTANCE // BLOCKS
 POSTINGS_PER_PARTITION = 2_000_000
-_COMBOS = np.array(list(combinations(range(8), MIN_SHARED)))
+_COMBOS = np.array(list(combinations(range(UNITS), MIN_SHARED)))
+_KEY_BITS = MIN_SHARED * UNIT_BITS
 _SEEDS = (np.uint64(0x5157), np.uint64(0x9E3779B97F4A7C15))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
-#: mask of shared bytes -> which of the combinations holds its first three (or 255)
-_FIRST = np.full(256, 255, np.uint8)
-for _m in range(256):
-    _on = [i for i in range(8) if _m >> i & 1]
+#: mask of shared units -> which of the combinations holds its first four (or 255)
+_FIRST = np.full(1 << UNITS, 255, np.uint8)
+for _m in range(1 << UNITS):
+    _on = [i for i in range(UNITS) if _m >> i & 1]
     if len(_on) >= MIN_SHARED:
         _FIRST[_m] = int(np.flatnonzero((_COMBOS == _on[:MIN_SHARED]).all(1))[0])
 _SMALL_LIST = 48
@@ -84,25 +88,47 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def shared_mask(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bit i is set where byte i of two uint64 arrays agrees."""
-    same = np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 8) == 0
-    return np.packbits(same, axis=1, bitorder="little")[:, 0]
+def _units(fp: np.ndarray) -> np.ndarray:
+    """(rows, BLOCKS, UNITS) values of the units."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 16), axis=1)
+    bits = bits[:, : BLOCKS * UNITS * UNIT_BITS].reshape(len(fp), BLOCKS, UNITS, UNIT_BITS)
+    return bits @ (1 << np.arange(UNIT_BITS))
+
+
+def first_column(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first column of `posting_keys` in which two arrays of fingerprints agree, row by row."""
+    mask = (_units(x ^ y) == 0) @ (1 << np.arange(UNITS))
+    first = _FIRST[mask]
+    block = (first != 255).argmax(axis=1)
+    return block * len(_COMBOS) + first[np.arange(len(x)), block]
 
 
 def posting_keys(fp: np.ndarray) -> np.ndarray:
-    """(rows, 112) int64 keys: half, combination, the three bytes."""
-    by = fp.view(np.uint8).reshape(len(fp), 2, 8).astype(np.int64)
-    three = by[:, :, _COMBOS]  # rows, 2, 56, 3
-    key = three[..., 0] << 16 | three[..., 1] << 8 | three[..., 2]
-    key += (np.arange(len(_COMBOS)) << 24)[None, None, :] + (np.arange(2) << 30)[None, :, None]
-    return key.reshape(len(fp), -1)
+    """(rows, 105) int64 keys: block and combination (the column), the four units."""
+    four = _units(fp)[:, :, _COMBOS]  # rows, 7, 15, 4
+    key = (four @ (1 << UNIT_BITS * np.arange(MIN_SHARED))).reshape(len(fp), -1)
+    return key + (np.arange(key.shape[1]) << _KEY_BITS)
+
+
+def _with_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of fingerprints (halves a and b) that have another near one among them."""
+    n = len(a)
+    found = np.zeros(n, bool)
+    step = max(1, (1 << 17) // n)
+    for i in range(0, n, step):
+        near = np.bitwise_count(a[i : i + step, None] ^ a[i:]) + np.bitwise_count(b[i : i + step, None] ^ b[i:]) <= MAX_DISTANCE
+        own = np.arange(len(near))
+        near[own, own] = False
+        found[i : i + step] |= near.any(1)
+        found[i:] |= near.any(0)
+    return np.flatnonzero(found)
 
 
 def list_edges(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of near fingerprints that share a key; enough of them to connect all that are near."""
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
+    a, b = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     xs, ys = [], []
@@ -113,18 +139,13 @@ def list_edges(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        x, y = at, at + d
-        half = (key[x] >> 30).astype(bool)
-        masks = [shared_mask(fp[x, i], fp[y, i]) for i in (0, 1)]
-        tally = [np.bitwise_count(m) >= MIN_SHARED for m in masks]
-        mine = np.where(half, _FIRST[masks[1]], _FIRST[masks[0]]) == (key[x] >> 24 & 63)
-        take = mine & (~half | ~tally[0])
-        x, y = x[take], y[take]
-        near = distance(fp[x], fp[y]) <= MAX_DISTANCE
-        xs.append(x[near])
-        ys.append(y[near])
+        near = np.bitwise_count(a[at] ^ a[at + d]) + np.bitwise_count(b[at] ^ b[at + d]) <= MAX_DISTANCE
+        x = at[near]
+        x = x[first_column(fp[x], fp[x + d]) == key[x] >> _KEY_BITS]
+        xs.append(x)
+        ys.append(x + d)
     for s, n in zip(start[size > _SMALL_LIST], size[size > _SMALL_LIST]):
-        left = np.arange(s, s + n)
+        left = s + _with_near(a[s : s + n], b[s : s + n])
         while len(left):
             stack, left = [left[0]], left[1:]
             while stack and len(left):
@@ -187,7 +208,7 @@ def near_edges(nodes: DataFrame, count: int) -> DataFrame:
         for at in range(0, len(x), 1 << 16):
             yield pa.RecordBatch.from_arrays([_binary16(fp[x[at : at + (1 << 16)]]), _binary16(fp[y[at : at + (1 << 16)]])], ["u", "v"])
 
-    parts = partitions_for(count * 2 * len(_COMBOS), POSTINGS_PER_PARTITION)
+    parts = partitions_for(count * BLOCKS * len(_COMBOS), POSTINGS_PER_PARTITION)
     postings = nodes.select("fp").mapInArrow(post, "k long, a long, b long").repartition(parts, "k")
     return postings.mapInArrow(meet, "u binary, v binary")
 
