@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines; those that were nothing else go."""
+    """Documents without later copies of repeated passages; those that were nothing else go."""
     return line_dedup.drop_repeated_runs(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 

@@ -52,16 +52,14 @@ def string_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return b, o - o[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all folded words and the first word's index for each row (length rows + 1).
+#: byte -> itself; 0 for ASCII white space, which alone separates words
+VERBATIM = np.arange(256, dtype=np.uint8)
+VERBATIM[[9, 10, 11, 12, 13, 32]] = 0
 
-    The hash of a word depends on its bytes only.
-    """
-    folded = FOLD[data]
-    inside = folded != 0
-    n = len(data)
-    if n == 0 or not inside.any():
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+
+def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that are `inside` a word; no run goes beyond its row."""
+    n = len(inside)
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     first = offsets[:-1]
@@ -72,7 +70,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = offsets[1:] - 1
     last = last[last >= 0]
     end[last] = inside[last]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all folded words and the first word's index for each row (length rows + 1).
+
+    The hash of a word depends on its bytes only.
+    """
+    folded = fold[data]
+    inside = folded != 0
+    if not inside.any():
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    s, e = word_spans(inside, offsets)
     with np.errstate(over="ignore"):
         h = np.zeros(len(s), np.uint64)
         length = e - s

@@ -1,21 +1,24 @@
-"""Removal of repeated runs of lines with a distributed suffix array.
-
-A text is the sequence of its lines' ids (64-bit hashes). A line that occurs in one place of the corpus only ends every
-run and is never in play. Suffixes are named by their first four lines' ids, read in each text; then prefix doubling
-refines the names, two doublings in a round: among suffixes of one name, they are ranked by the names of the suffixes
-L, 2 L and 3 L lines on, in a window over the name's class alone, so that no round sorts the whole array; a suffix whose
-name is unique, or that ends within the lines compared, takes no further part. The suffixes that share their first
-lines up to `min_words` words, in array order, are neighbours; their longest common prefixes are read off the texts of
-both (the next suffix of the same two texts shares one line less). A scan with a stack walks the LCP intervals and
-yields for every suffix the longest run of lines that also stands at an earlier place (by document id, then line): the
-maximal repeated runs with at least `min_words` words. Their lines are deleted at the later place. Exact copies of a
-text enter the array once; all lines of the later ones go, if the text has `min_words` words.
-
-Defined results: a null text stays null and an empty one empty; a document that loses lines keeps the others, joined by
-newlines; one that loses all of them goes; documents are ordered by id, a null id last, then by hashes of the text; rows
-that repeat an id and a text are one document and all get its result; ties between equal runs go to the first place; a
-run may repeat within one document, too; an empty table gives an empty result; other columns are kept, by any name.
-Words are counted as the gaps between them, by spaces.
+"""Removal of repeated passages: runs of at least `min_words` words that also stand earlier, wherever in a line they
+begin or end; and, as a part of its own, a distributed suffix array over whole lines.
+
+Words are what ASCII white space parts, compared byte by byte; the white space between them isn't compared, so that a
+passage is found where it is wrapped differently. A run of `min_words` words or more stands earlier (by document id,
+then word) if and only if each of its windows of `min_words` words does; so the words to delete are those of all windows
+whose hash has an earlier place, and nothing is sampled or rounded to sentences or lines. To keep windows that occur
+once out of the shuffle, each window names one of its runs of half the words (winnowing: the one with the least hash, the
+last of equals); equal windows name equal runs, so only windows whose run is named by another text, or twice in its
+own, are placed. Exact copies of a text take part once; all words of the later ones go, if the text has `min_words`.
+
+The suffix array (`_edited`) takes lines as units: suffixes are named by their first four lines' ids, then refined by
+prefix doubling, two doublings in a round, in a window over the name's class alone; neighbours in the array that share
+their first lines up to `min_words` words get their longest common prefixes, and a scan of the LCP intervals yields for
+every suffix the longest run of whole lines that also stands earlier.
+
+Defined results: a null text stays null and an empty one empty; a document that loses words keeps the others with the
+white space before each, and across a gap the white space of that end of it with more line breaks; one that loses all of
+them goes; documents are ordered by id, a null id last, then by hashes of the text; rows that repeat an id and a text are
+one document and all get its result; a run may repeat within one document, too, and overlap itself; an empty table gives
+an empty result; other columns are kept, by any name.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
-from ._hashing import mix
+from ._common import materialise, text_slices
+from ._hashing import VERBATIM, mix, string_buffers, word_hashes, word_spans
 
 MIN_WORDS = 25
 #: lines that name a suffix before the first round
@@ -277,22 +281,186 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     )
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of `min_words` words within a text: its row, first word (in the row), hash, the place of the run
+    that it names (in all words), and that run's hash."""
+    h, first = word_hashes(data, offsets, VERBATIM)
+    half = (min_words + 1) // 2
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    n = max(len(h) - min_words + 1, 0)
+    at = np.flatnonzero(row[:n] == row[min_words - 1 : min_words - 1 + n])
+    with np.errstate(over="ignore"):
+        runs = _rolled(h, half)
+        named, best = np.arange(n), runs[:n].copy()
+        for i in range(1, min_words - half + 1):
+            less = runs[i : i + n] <= best
+            best[less] = runs[i : i + n][less]
+            named[less] = np.flatnonzero(less) + i
+        whole = _rolled(h, min_words)
+    return row[at], at - first[row[at]], whole[at], named[at], best[at]
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    n = max(len(h) - size + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : i + n]
+    return mix(out)
+
+
+def shared_anchors(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """k, k2 and anchors (hashes of named runs that another text names, too, or the same text twice) of texts with any."""
+    k, k2 = _keys(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "t"):
+            row, _, _, named, anchor = windows(*string_buffers(b.column(2)), min_words)
+            new = np.ones(len(row), bool)
+            new[1:] = (named[1:] != named[:-1]) | (row[1:] != row[:-1])
+            row, anchor = row[new], anchor[new]
+            order = np.lexsort((anchor, row))
+            row, anchor = row[order], anchor[order]
+            start = np.ones(len(row), bool)
+            start[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(start)
+            twice = np.diff(np.append(at, len(row))) > 1
+            take = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(anchor[at].view(np.int64)), pa.array(twice)], ["k", "k2", "a", "twice"])
+
+    some = docs.where(F.col(text_col).isNotNull()).select(k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
+    named = some.mapInArrow(run, "k long, k2 long, a long, twice boolean")
+    w = Window.partitionBy("a")
+    # copies of a text have one key, so they don't make its runs shared
+    shared = named.withColumn("s", F.max("twice").over(w) | (F.min("k").over(w) < F.max("k").over(w))).where("s")
+    return shared.groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
+
+
+def placed_windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """g (hash), id, k, k2 and at (first word) of the windows of `texts` (id, k, k2, anchors, t) that name an anchor."""
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "t"):
+            row, at, g, _, anchor = windows(*string_buffers(b.column(4)), min_words)
+            # an anchor of another text of the batch does no harm: a window of one place isn't deleted
+            on = np.isin(anchor, _flat(b.column(3)).view(np.uint64))
+            take = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([pa.array(g[on].view(np.int64)), *(b.column(c).take(take) for c in (0, 1, 2)), pa.array(at[on].astype(np.int32))], ["g", "id", *_PLACE])
+
+    return texts.select("id", *_KEY, "anchors", "t").mapInArrow(run, f"g long, id {id_type}, k long, k2 long, at int")
+
+
+def _is_later(id_: Column, first: Column) -> Column:
+    return F.coalesce(first.isNotNull() & (id_.isNull() | (id_ > first)), F.lit(False))
+
+
+def _likely(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with __qw_likely: true for every text whose k and k2 are in `keys`, and for few others; from a bitmap of
+    2**23 bits at most, so that other texts needn't be shuffled."""
+    slot = lambda k, k2: (F.pmod(k, F.lit(1 << 17)), F.pmod(k2, F.lit(64)).cast("int"))
+    w, bit = slot(F.col("k"), F.col("k2"))
+    bits = keys.groupBy(w.alias("__qw_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__qw_bits"))
+    w, bit = slot(*_keys(text_col))
+    found = docs.withColumn("__qw_s", w).join(F.broadcast(bits), F.col("__qw_s") == F.col("__qw_w"), "left")
+    return found.withColumn("__qw_likely", F.coalesce(F.getbit("__qw_bits", bit) == 1, F.lit(False))).drop("__qw_s", "__qw_w", "__qw_bits")
+
+
+def deleted_windows(docs: DataFrame, copied: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """k, k2 and ats (first words) of the windows of a text's first document that also stand earlier."""
+    k, k2 = _keys(text_col)
+    anchors = materialise(shared_anchors(docs, text_col, min_words).join(copied, _KEY, "left"), "anchors")
+    some = _likely(docs.where(F.col(text_col).isNotNull()), anchors, text_col).where("__qw_likely")
+    texts = some.select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
+    own = texts.join(anchors.hint("shuffle_hash"), _KEY).where(~_is_later(F.col("id"), F.col("first")))
+    place = F.struct(F.col("id").isNull().alias("n"), "id", *_PLACE)
+    found = placed_windows(own, min_words).withColumn("o", F.min(place).over(Window.partitionBy("g")))
+    return found.where(place != F.col("o")).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
+
+
+def without_words(text: str, gone: np.ndarray, spans: tuple[np.ndarray, np.ndarray]) -> str | None:
+    """`text` without its words that are `gone`; null if none is left. `spans`: of the words, in bytes."""
+    data = text.encode("utf-8", "surrogatepass")
+    s, e = spans
+    kept = np.flatnonzero(~gone)
+    if not len(kept):
+        return None
+    out = []
+    # runs of kept words keep what is between them
+    starts = kept[np.append(True, np.diff(kept) > 1)]
+    ends = kept[np.append(np.diff(kept) > 1, True)]
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        if i:
+            left, right = data[e[ends[i - 1]] : s[ends[i - 1] + 1]], data[e[a - 1] : s[a]]
+            out.append(left if left.count(b"\n") > right.count(b"\n") else right)
+        elif a == 0:
+            out.append(data[: s[0]])
+        out.append(data[s[a] : e[b]])
+    if kept[-1] == len(gone) - 1:
+        out.append(data[e[-1] :])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def _without_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """`docs` with its text without repeated passages and the columns __qw_left and __qw_deleted (words)."""
+    copied = materialise(text_units(docs, id_col, text_col).where("copied").select(*_KEY, "first"), "copied")
+    found = deleted_windows(docs, copied, id_col, text_col, min_words)
+    found = materialise(found.join(copied, _KEY, "full_outer").select(*_KEY, "ats", "first"), "hits")
+    hits = found.toDF("__qw_k", "__qw_k2", "__qw_ats", "__qw_first")
+
+    @F.pandas_udf("text string, deleted int, left int")
+    def edit(texts: pd.Series, ats: pd.Series, later: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, at, all_gone in zip(texts, ats, later):
+            if t is None:
+                out.append((None, 0, 1))
+                continue
+            data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+            s, e = word_spans(VERBATIM[data] != 0, np.array([0, len(data)]))
+            n = len(s)
+            gone = np.zeros(n, bool)
+            if all_gone:
+                gone[:] = n >= min_words
+            elif at is not None:
+                step = np.zeros(n + 1, np.int64)
+                np.add.at(step, np.asarray(at), 1)
+                np.add.at(step, np.asarray(at) + min_words, -1)
+                gone = np.cumsum(step)[:n] > 0
+            many = int(gone.sum())
+            out.append((without_words(t, gone, (s, e)) if many else t, many, n - many if many else 1))
+        return pd.DataFrame(out, columns=["text", "deleted", "left"])
+
+    k, k2 = _keys(text_col)
+    same = (F.col("__qw_a") == F.col("__qw_k")) & (F.col("__qw_b") == F.col("__qw_k2"))
+    all_docs = _likely(docs, found, text_col)
+    # only texts that may lose words are shuffled, and not sorted: a hash table holds what they lose
+    joined = all_docs.where("__qw_likely").drop("__qw_likely").withColumns({"__qw_a": k, "__qw_b": k2}).join(hits.hint("shuffle_hash"), same, "left")
+    later = _is_later(F.col(id_col), F.col("__qw_first"))
+    concerned = F.when(later | F.col("__qw_ats").isNotNull(), F.col(text_col))
+    out = joined.withColumn("__qw_e", edit(concerned, F.when(~later, F.col("__qw_ats")), later))
+    changed = F.col("__qw_e.deleted") > 0
+    edited = out.withColumns({"__qw_deleted": F.col("__qw_e.deleted"), "__qw_left": F.col("__qw_e.left"), text_col: F.when(changed, F.col("__qw_e.text")).otherwise(F.col(text_col))})
+    own = [*docs.columns, "__qw_deleted", "__qw_left"]
+    others = all_docs.where(~F.col("__qw_likely")).withColumns({"__qw_deleted": F.lit(0), "__qw_left": F.lit(1)})
+    return edited.select(own).unionByName(others.select(own))
+
+
 def drop_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of `docs`, all columns, without the lines of repeated runs; rows without a line left go.
+    """The rows of `docs`, all columns, without the words of repeated passages; rows without a word left go.
 
     `count_col`: a column whose whole number follows the length of the text in characters, if it held it before.
     """
-    out = _edited(docs, id_col, text_col, min_words).where("__qw_left > 0")
+    out = _without_passages(docs, id_col, text_col, min_words).where("__qw_left > 0")
     if count_col:
         out = out.withColumn(count_col, F.when(F.col("__qw_deleted") > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
     return out.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every document with the number of lines deleted and the text that is left (null if nothing is)."""
+    """Every document with the number of words deleted and the text that is left (null if nothing is)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = _edited(docs, "doc_id", "text", MIN_WORDS)
-    return out.select("doc_id", F.col("__qw_deleted").alias("deleted_lines"), F.when(F.col("__qw_left") > 0, F.col("text")).alias("text"))
+    out = _without_passages(docs, "doc_id", "text", MIN_WORDS)
+    return out.select("doc_id", F.col("__qw_deleted").alias("deleted_words"), F.when(F.col("__qw_left") > 0, F.col("text")).alias("text"))
 
 
 QUERY, ORACLE = ("op9_line_dedup", query), None
