@@ -36,6 +36,23 @@ def kwic_match_freq(spark: SparkSession, sf: str) -> DataFrame:
     return S.match_frequency(_hits(spark, sf, WILD))
 
 
+def _all_hits(spark: SparkSession, sf: str, term: str) -> DataFrame:
+    """Hits in all lines, whatever their language and letters; RE2 can't tell their words apart, so they have no SQL."""
+    return S.keyword_in_context(doc_lines(spark, sf), term, keys=["doc_id", "line_no"])
+
+
+def kwic_all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_hits(spark, sf, TERM).drop("term")
+
+
+def kwic_wildcard_all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_hits(spark, sf, WILD).select("doc_id", "line_no", "hit", "term_match", "pre", "post")
+
+
+def kwic_match_freq_all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return S.match_frequency(_all_hits(spark, sf, WILD))
+
+
 def _kwic_sql(pattern: str, tail: str) -> str:
     """Matches follow one another in the line: each begins where the text left by the ones before it first holds it."""
     around = rf"(?i)(\w+\W+){{0,3}}\b({pattern})\b(\W+\w+){{0,3}}"
@@ -152,6 +169,9 @@ QUERIES = {
     "kwic": (kwic, _kwic_sql("that", "SELECT doc_id, line_no, hit, match_offset, term_match, pre, post, CASE WHEN length(pre) < 30 THEN lpad(pre, 30, ' ') ELSE pre END || term_match || post AS context FROM k")),
     "kwic_wildcard": (kwic_wildcard, _kwic_sql(r"th\w*", "SELECT doc_id, line_no, hit, term_match, pre, post FROM k")),
     "kwic_match_freq": (kwic_match_freq, _kwic_sql(r"th\w*", "SELECT term_match, count(*) AS freq FROM k GROUP BY term_match")),
+    "kwic_all_lines": (kwic_all_lines, None),
+    "kwic_wildcard_all_lines": (kwic_wildcard_all_lines, None),
+    "kwic_match_freq_all_lines": (kwic_match_freq_all_lines, None),
     "mid_bigrams": (mid_bigrams, _BIGRAMS),
     "similar_words": (similar_words, _SIMILAR),
     "broken_lines": (broken_lines, f"WITH {BROKEN} SELECT doc_id, line_no, text FROM broken"),

@@ -1,0 +1,27 @@
+import re
+from collections import Counter
+
+from quirework.plans import catalogue
+
+Q = catalogue.queries()
+LINES = ["I say that thé thaw, naïve théâtre that", "the plain line that ends", "über den Thüringer Wald, that is all", "ça that", "nothing here", ""]
+
+
+def test_search_of_all_lines_against_brute_force(spark, tmp_path):
+    """Lines in any language or none, with any letters."""
+    rows = [(i, "s", lang, "\n".join(LINES[i:] + LINES[:i])) for i, lang in enumerate(["en", "de", "fr", None])] + [(9, "s", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(term):
+        for i, _, _, text in rows:
+            for n, line in enumerate((text or "").split("\n")):
+                for hit, m in enumerate(re.finditer(rf"((?:\w+\W+){{0,3}})\b({term})\b((?:\W+\w+){{0,3}})", line, re.I), 1):
+                    yield i, n, hit, *m.groups(), m.start()
+
+    that, wild = list(brute("that")), list(brute(r"th\w*"))
+    got = Q["kwic_all_lines"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.line_no, r.hit, r.pre, r.term_match, r.post, r.match_offset) for r in got) == Counter(that)
+    got = Q["kwic_wildcard_all_lines"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.line_no, r.hit, r.pre, r.term_match, r.post) for r in got) == Counter(w[:-1] for w in wild)
+    got = Q["kwic_match_freq_all_lines"](spark, str(tmp_path)).collect()
+    assert {r.term_match: r.freq for r in got} == Counter(w[4] for w in wild)
