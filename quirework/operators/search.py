@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +81,46 @@ def similar_words(queries: DataFrame, words: DataFrame, *, top: int = 10, n: int
     scored = both.groupBy("query", "token").agg(score.alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "rank", "token", "score")
+
+
+def similar_vocabulary(words: DataFrame, *, top: int = 10, n: int = 2, skip: int = 1) -> DataFrame:
+    """As `similar_words` with every token of `words` as a query.
+
+    The distinct tokens and their skip-grams reach the driver and are broadcast; each task keeps the `top` of its queries
+    only. The time grows with the square of the vocabulary.
+    """
+    spark = words.sparkSession
+    table = words.select("token").where("token is not null").distinct().orderBy("token").select("token", skipgrams(F.col("token"), n, skip).alias("g")).toArrow()
+    tokens = table["token"].combine_chunks()
+    lists = table["g"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    gram = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.argsort(gram, kind="stable").astype(np.int64)
+    posting = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    first = np.append(0, np.cumsum(np.bincount(gram)))
+    start = np.append(0, np.cumsum(sizes))
+    shared = spark.sparkContext.broadcast((tokens, sizes, gram, start, posting, first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sizes, gram, start, posting, first = shared.value
+        for b in batches:
+            query, rank, found, score = [], [], [], []
+            for q in b.column(0).to_pylist():
+                own = gram[start[q] : start[q + 1]]
+                common = np.bincount(np.concatenate([posting[first[g] : first[g + 1]] for g in own]))
+                at = np.flatnonzero(common)
+                s = common[at] / np.sqrt((sizes[q] * sizes[at]).astype(np.float64))
+                if len(s) > top:
+                    near = s >= np.partition(s, len(s) - top)[len(s) - top]
+                    at, s = at[near], s[near]
+                best = np.lexsort((at, -s))[:top]
+                query += [q] * len(best)
+                rank += range(1, len(best) + 1)
+                found.append(at[best])
+                score.append(s[best])
+            if query:
+                take = lambda i: tokens.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([take(query), pa.array(rank, pa.int32()), take(np.concatenate(found)), pa.array(np.concatenate(score))], ["query", "rank", "token", "score"])
+
+    parts = max(1, -(-len(sizes) // 2000))
+    return spark.range(0, len(sizes), 1, parts).mapInArrow(run, "query string, rank int, token string, score double")

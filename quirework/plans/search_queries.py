@@ -72,6 +72,11 @@ def similar_words(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+def similar_words_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar words of the corpus for every word of it."""
+    return S.similar_vocabulary(K.word_frequency(doc_lines(spark, sf))).withColumn("score", F.round("score", 6))
+
+
 _SIMILAR = rf"""WITH {DOC_LINES}, t AS (SELECT unnest(regexp_extract_all(text, '{_SQL_W}+')) AS token FROM doc_lines), v AS (SELECT token, count(*) AS freq FROM t GROUP BY token),
  q AS (SELECT token AS query FROM v WHERE length(token) >= 8 ORDER BY freq DESC, token LIMIT 10),
  h AS (SELECT token, '#' || lower(token) || '#' AS w FROM v),
@@ -174,6 +179,7 @@ QUERIES = {
     "kwic_match_freq_all_lines": (kwic_match_freq_all_lines, None),
     "mid_bigrams": (mid_bigrams, _BIGRAMS),
     "similar_words": (similar_words, _SIMILAR),
+    "similar_words_all": (similar_words_all, None),
     "broken_lines": (broken_lines, f"WITH {BROKEN} SELECT doc_id, line_no, text FROM broken"),
     "typical_line_words": (typical_line_words, _TYPICAL),
     "line_word_break": (line_word_break, _BREAKS),

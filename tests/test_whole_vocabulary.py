@@ -1,0 +1,23 @@
+from quirework.operators import search as S
+from quirework.plans import catalogue
+
+
+def test_every_word_is_a_query(spark, tmp_path):
+    text = "a that thát That thatch hatch\nscratch catch cat é ab ba aba bab " + " ".join(f"x{i}y{i % 7}" for i in range(60))
+    spark.createDataFrame([(1, "s", "en", text), (2, "s", None, "cat caterpillar"), (3, "s", "de", None)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = sorted(set(text.split()) | {"caterpillar"})
+
+    def grams(w):
+        w = f"#{w.lower()}#"
+        return {w[i] + w[i + d] for d in (1, 2) for i in range(len(w) - d)}
+
+    want = []
+    for q in words:
+        scored = [(-len(grams(q) & grams(t)) / (len(grams(q)) * len(grams(t))) ** 0.5, t) for t in words if grams(q) & grams(t)]
+        want += [(q, rank, t, round(-s, 6)) for rank, (s, t) in enumerate(sorted(scored)[:10], 1)]
+    got = catalogue.queries()["similar_words_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.query, r.rank, r.token, r.score) for r in got) == sorted(want)
+    vocabulary = spark.createDataFrame([(w,) for w in words], "token string")
+    joined = S.similar_words(vocabulary.withColumnRenamed("token", "query"), vocabulary).collect()
+    assert sorted(map(tuple, S.similar_vocabulary(vocabulary).collect())) == sorted(map(tuple, joined))
+    assert S.similar_vocabulary(vocabulary.limit(0)).count() == 0
