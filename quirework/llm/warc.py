@@ -210,12 +210,13 @@ def resolve_headers(records: DataFrame) -> DataFrame:
     """Fresh headers of all records (columns of SCHEMA but payload), and `resolution`: original, duplicate, revisit or
     unresolved. Only headers are shuffled."""
     digest = F.coalesce("payload_digest", F.when(F.col("payload").isNotNull(), F.concat(F.lit("sha1:"), F.sha1("payload"))))
-    heads = records.select("record_id", "warc_type", "target_uri", "warc_date", digest.alias("payload_digest"))
+    heads = records.select("record_id", "warc_type", "target_uri", "warc_date", digest.alias("payload_digest"), F.col("payload").isNull().alias("__empty"))
     is_response = F.coalesce(F.col("warc_type") != "revisit", F.lit(True))
-    first = F.struct((~is_response).alias("r"), F.col("warc_date").isNull().alias("dn"), F.col("warc_date").alias("d"), F.col("record_id").isNull().alias("n"), F.col("record_id").alias("id"))
+    # a response with a payload comes before all without
+    first = F.struct(F.col("__empty").alias("e"), F.col("warc_date").isNull().alias("dn"), F.col("warc_date").alias("d"), F.col("record_id").isNull().alias("n"), F.col("record_id").alias("id"))
     originals = heads.where(F.col("payload_digest").isNotNull() & is_response).groupBy(F.col("payload_digest").alias("digest")).agg(F.min(first).alias("o"))
     joined = heads.join(originals, heads.payload_digest == originals.digest, "left")
-    same = F.col("o.id").eqNullSafe(F.col("record_id")) & F.col("o.d").eqNullSafe(F.col("warc_date")) & is_response & F.col("o").isNotNull()
+    same = F.col("o.id").eqNullSafe(F.col("record_id")) & F.col("o.d").eqNullSafe(F.col("warc_date")) & (F.col("o.e") == F.col("__empty")) & is_response & F.col("o").isNotNull()
     # of equal records one is the original
     turn = F.row_number().over(Window.partitionBy("digest", "record_id", "warc_date", same).orderBy(F.lit(1)))
     joined = joined.withColumn("__same", same).withColumn("__turn", F.when(same, turn).otherwise(0))
@@ -244,8 +245,9 @@ def write_resolved(records: DataFrame, path: str) -> DataFrame:
     key = lambda: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in ("record_id", "warc_date", "payload_digest")])
     payloads = payloads.withColumn("payload_digest", F.coalesce("payload_digest", F.concat(F.lit("sha1:"), F.sha1("payload")))).select(key().alias("p_key"), "payload")
     # payloads are shuffled once: the join, the choice among equal records and the archives share a partitioning; the
-    # keys of records without a payload meet none
-    original = F.col("resolution") == "original"
+    # keys of records without a payload meet none. A digest has one original, so only its key's rows are chosen among:
+    # responses without a digest are each kept
+    original = (F.col("resolution") == "original") & F.col("payload_digest").isNotNull()
     keyed = heads.withColumn("p_key", F.when(original, key()).otherwise(F.concat(F.lit("/"), key())))
     turn = F.row_number().over(Window.partitionBy("p_key").orderBy(F.xxhash64("payload")))
     full = keyed.join(payloads, "p_key", "left").withColumn("__n", turn).where(~original | (F.col("__n") == 1))
