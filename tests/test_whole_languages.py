@@ -1,0 +1,10 @@
+from quirework.plans import catalogue
+
+Q = catalogue.queries()
+
+
+def test_analyses_of_all_languages(spark, tmp_path):
+    rows = [(1, "s", "en", "one two three"), (2, "s", "fr", "un two\nUN"), (3, "s", None, "two alone"), (4, "s", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.token: (r.all_freq, r.start_freq, r.mid_freq, r.end_freq) for r in Q["merged_analyses_all"](spark, str(tmp_path)).collect()}
+    assert got == {"one": (1, 1, 0, 0), "two": (3, 1, 1, 1), "three": (1, 0, 0, 1), "un": (2, 2, 0, 1), "alone": (1, 0, 0, 1)}
