@@ -38,7 +38,7 @@ _SPACE = 0
 @dataclass(frozen=True)
 class Settings:
     """`dims`: length of the vectors; `n`: letters in an n-gram; `min_cosine`: below it a document is rejected if it has
-    `min_ngrams` n-grams or more (a word or two can't tell); `train_rows`: about as many labelled rows at most are used for the prototypes (chosen by a hash of the id)."""
+    `min_ngrams` n-grams or more (a word or two can't tell); `train_rows`: about as many labelled rows at most are used for the prototypes, an equal share for each language (chosen by a hash of the id)."""
 
     dims: int = 1024
     n: int = 3
@@ -126,15 +126,19 @@ def text_vectors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int | None = None) -> Profiles:
-    """Prototypes from about `settings.train_rows` labelled rows, the ones with the smallest hashes of their ids.
+    """Prototypes from about `settings.train_rows` labelled rows at most, the same share for each language: all rows of
+    a language with no more than its share, else those with the smallest hashes of their ids.
 
     Only the n-gram counts of each language reach the driver; their number doesn't grow with the input.
     """
-    narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    total = docs.count() if rows is None else rows
-    if total > settings.train_rows:
-        bound = int(settings.train_rows / total * (1 << 30))
-        narrow = narrow.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < bound)
+    narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
+    if rows is None or rows > settings.train_rows:
+        labelled = {r.l: r.n for r in narrow.groupBy("l").agg(F.count("*").alias("n")).collect()}
+        share = max(1, settings.train_rows // max(1, len(labelled)))
+        hashed = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
+        for lang, many in labelled.items():
+            if many > share:
+                narrow = narrow.where((F.col("l") != lang) | (hashed < int(share / many * (1 << 30))))
     n = settings.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "do
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(t[at])], ["l", "code", "c"])
 
-    counted = narrow.where("l is not null and t is not null").select("t", "l").mapInArrow(count, "l string, code long, c long")
+    counted = narrow.select("t", "l").mapInArrow(count, "l string, code long, c long")
     table = counted.groupBy("l", "code").agg(F.sum("c").alias("c")).toArrow()
     profiles = Profiles(settings)
     if table.num_rows == 0:
