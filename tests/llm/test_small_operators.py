@@ -83,6 +83,38 @@ def test_knn_against_brute_force(spark):
         assert got == brute(points, 5)
 
 
+def test_knn_of_some_queries(spark):
+    """Queries apart from the rows, ids that are strings, and blocks of queries."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 4)) * 20
+    points = {f"v{i:04d}": (centres[i % 6] + rng.normal(size=4)).astype(np.float32).tolist() for i in range(400)}
+    df = spark.createDataFrame(list(points.items()), "i string, v array<float>")
+    asked = [("v0003", points["v0003"]), ("new", [0.0] * 4), ("far", [1e6] * 4), (None, [0.0] * 4), ("short", [1.0])] + [(k, points[k]) for k in list(points)[::9]]
+    queries = spark.createDataFrame(asked, "i string, v array<float>")
+    want = {}
+    for name, q in asked:
+        if name is not None and len(q) == 4:
+            d = sorted((float(((np.array(q, np.float64) - np.array(p, np.float64)) ** 2).sum()), j) for j, p in points.items() if j != name)
+            want[name] = [(j, round(x**0.5, 6)) for x, j in d[:3]]
+    for block in (7, 1000):
+        got = defaultdict(list)
+        for r in kdtree.nearest(df, queries, k=3, id_col="i", vec_col="v", rows_per_shard=50, queries_per_block=block, leaf=8).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.neighbour_id, round(r.distance, 6)))
+        assert got == want
+
+
+def test_near_boxes():
+    rng = np.random.default_rng(6)
+    low = rng.normal(size=(13, 3))
+    high = low + rng.random((13, 3))
+    q, kth = rng.normal(size=(50, 3)) * 2, rng.random(50) * 2
+    tree = kdtree.BoxTree(low, high)
+    got = set(zip(*(x.tolist() for x in tree.near(q, kth))))
+    d = np.maximum(low[None] - q[:, None], 0) + np.maximum(q[:, None] - high[None], 0)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero((d * d).sum(2) <= kth[:, None]))))
+    assert kdtree.BoxTree(np.zeros((0, 3)), np.zeros((0, 3))).near(q[:0], kth[:0])[0].size == 0
+
+
 def test_knn_small_tables(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in kdtree.nearest(df).orderBy("query_id").collect()] == [(1, 1, 2, 3.0), (2, 1, 1, 3.0)]
