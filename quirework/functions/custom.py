@@ -6,20 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# a part "key:value" of a tag's body, with one colon
+_PART = r"(?:^|;) *([^:;]*?) *: *([^:;]*?) *(?=;|$)"
+
+
 def custom_tags(custom: Column) -> Column:
-    """Tags of a string "name {key:value; key:value;} ...": tag_name, offset, length, index (numbers or null) and attrs (all of them)."""
-    names = F.regexp_extract_all(custom, F.lit(r"\b(\w+) ?\{(.*?)\}"), F.lit(1))
-    bodies = F.regexp_extract_all(custom, F.lit(r"\b(\w+) ?\{(.*?)\}"), F.lit(2))
-
-    def tag(pair: Column) -> Column:
-        parts = F.filter(F.split(pair["body"], ";"), lambda p: F.size(F.split(p, ":", -1)) == 2)
-        entries = F.transform(parts, lambda p: F.struct(F.trim(F.split(p, ":", -1)[0]).alias("key"), F.trim(F.split(p, ":", -1)[1]).alias("value")))
-        # of a key that is given twice, the last value
+    """Tags of a string "name {key:value; key:value;} ...": tag_name, offset, length, index (numbers or null) and attrs
+    (all of them). A part without exactly one colon is left out; of a key that is given twice the last value counts."""
+    pattern = F.lit(r"\b(\w+) ?\{(.*?)\}")
+    found = F.arrays_zip(F.regexp_extract_all(custom, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(custom, pattern, F.lit(2)).alias("body"))
+    all_of = lambda body, group: F.regexp_extract_all(body, F.lit(_PART), F.lit(group))
+    parts = F.transform(found, lambda t: F.struct(t["name"].alias("name"), all_of(t["body"], 1).alias("keys"), all_of(t["body"], 2).alias("values")))
+
+    def attrs(t: Column) -> Column:
+        keys, values = t["keys"], t["values"]
+        entries = F.arrays_zip(keys.alias("key"), values.alias("value"))
         last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["key"] == e["key"]))
-        attrs = F.map_from_entries(last)
-        return F.struct(pair["name"].alias("tag_name"), attrs["offset"].try_cast("int").alias("offset"), attrs["length"].try_cast("int").alias("length"), attrs["index"].try_cast("int").alias("index"), attrs.alias("attrs"))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(last))
 
-    return F.transform(F.arrays_zip(names.alias("name"), bodies.alias("body")), tag)
+    tags = F.transform(parts, lambda t: F.struct(t["name"].alias("name"), attrs(t).alias("attrs")))
+    number = lambda t, key: t["attrs"][key].try_cast("int").alias(key)
+    return F.transform(tags, lambda t: F.struct(t["name"].alias("tag_name"), number(t, "offset"), number(t, "length"), number(t, "index"), t["attrs"].alias("attrs")))
 
 
 def tags_named(tags: Column, name: str) -> Column:

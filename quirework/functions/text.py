@@ -15,7 +15,16 @@ WORD_CATEGORIES = {"num_alpha_words": ALPHA, "num_number_words": DIGIT, "num_tit
 LINE_BINS = [(0, 0), (1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 15), (16, 25), (26, 42), (43, 70), (71, 100)]
 MAX_WORD_LENGTH, LENGTH_STEP = 30, 5
 _MARK = "\x01"
-_SPACE_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+_W, _N, _SPACES = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]", r"[\s\p{Z}]"
+# the categories for words inside a text: between spaces or its ends
+_FROM, _TO = "(?<![^ ])", "(?![^ ])"
+_CASED = r"\p{Lu}\p{Lt}\p{Ll}"
+_IN_TEXT = {
+    "num_alpha_words": r"\p{L}+",
+    "num_number_words": r"\p{Nd}+",
+    "num_title_words": rf"[^{_CASED} ]*(?:[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*(?:[^{_CASED} ]+|{_TO}))+",
+    "num_punctuation_words": r"[!-/:-@\[-`{-~]*",
+}
 
 
 def space_words(text: Column) -> Column:
@@ -29,14 +38,6 @@ def boundary_words(text: Column) -> Column:
     return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def filled(words: Column) -> Column:
-    return F.filter(words, lambda w: w != "")
-
-
-def count_like(words: Column, pattern: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.rlike(pattern)))
-
-
 def line_bin(n: Column) -> Column:
     out = F.lit(None).cast("string")
     for low, high in reversed(LINE_BINS):
@@ -44,35 +45,37 @@ def line_bin(n: Column) -> Column:
     return out
 
 
-def _strip(t: Column) -> Column:
-    return F.regexp_replace(t, _SPACE_ENDS, "")
+def word_counts(text: Column, words: Column) -> dict[str, Column]:
+    """Numbers of words by category and length of a text whose `words` (their number) stand between single spaces.
+
+    Each count is one pass of a pattern over the text; no array of words is made.
+    """
+    out = {"num_words": words} | {name: F.regexp_count(text, F.lit(f"{_FROM}{inner}{_TO}")) for name, inner in _IN_TEXT.items()}
+    out["num_oversized_words"] = F.regexp_count(text, F.lit(f"{_FROM}[^ ]{{{MAX_WORD_LENGTH + 1},}}{_TO}"))
+    for high in range(LENGTH_STEP, MAX_WORD_LENGTH + 1, LENGTH_STEP):
+        out[f"num_words_length_{high}"] = F.regexp_count(text, F.lit(f"{_FROM}[^ ]{{{high - LENGTH_STEP + 1},{high}}}{_TO}"))
+    return out
 
 
 def line_words(text: Column, break_chars: str = "-") -> Column:
     """The words of a line, break characters joined to the letters beside them; a null or empty line has none.
 
     A break character that is doubled, or set off by a space, at the end of the line loses the doubling or the space.
+    Marks go between the tokens of the line and are taken out again by replacements over the whole line.
     """
     marks = "".join("\\" + c for c in break_chars)
-    last, before = F.substring(text, -1, 1), F.when(F.length(text) >= 2, F.substring(text, -2, 1))
-    tail = F.when(
-        last.rlike(f"^[{marks}]$") & before.rlike(f"^[{marks}]$"), text.substr(F.lit(1), F.length(text) - 1)
-    ).when(last.rlike(f"^[{marks}]$") & (before == " "), F.concat(text.substr(F.lit(1), F.length(text) - 2), last)).otherwise(text)
-    tokens = F.regexp_extract_all(F.translate(tail, _MARK, " "), F.lit(TOKEN), F.lit(0))
-    pairs = F.arrays_zip(tokens.alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))).alias("p"))
-
-    def piece(pair: Column) -> Column:
-        t, p = pair["t"], pair["p"]
-        return (
-            F.when(p.isNull(), t)
-            .when(t.rlike(f"^[{marks}]") & p.rlike(r"^\p{L}"), _strip(t))
-            .when(t.rlike(r"^\p{L}") & p.rlike(f"[{marks}]$"), t)
-            .when(t == " ", F.lit(""))
-            .otherwise(F.concat(F.lit(_MARK), _strip(t)))
-        )
-
-    words = F.split(F.array_join(F.transform(pairs, piece), ""), _MARK, -1)
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(words)
+    clean = F.translate(text, _MARK, " ")
+    tail = F.regexp_replace(clean, rf"(?<=[{marks}])[{marks}]\z| (?=[{marks}]\z)", "")
+    lead = F.regexp_extract(tail, rf"^{_N}*", 0)  # a first token without letters stays as it is
+    rest = F.regexp_replace(tail, rf"^{_N}*", "")
+    body = F.regexp_replace(rest, f"({_N}+)", f"{_MARK}$1{_MARK}")
+    body = F.regexp_replace(body, rf"(?<!{_W})(\p{{L}}{_W}*){_MARK}(?=[{marks}])", "$1")
+    body = F.regexp_replace(body, rf"([{marks}]){_MARK}(?=\p{{L}})", "$1")
+    body = F.regexp_replace(body, rf"(?s){_MARK} (?={_MARK}.)|{_MARK} {_MARK}\z|{_MARK}\z", "")
+    body = F.regexp_replace(body, rf"(?<={_MARK}){_SPACES}+|{_SPACES}+(?={_MARK}|\z)", "")
+    joint = F.when((lead == "") | (lead.rlike(f"[{marks}]$") & rest.rlike(r"^\p{L}")), "").otherwise(_MARK)
+    whole = F.when(rest == "", lead).otherwise(F.concat(lead, joint, body))
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(whole, _MARK, -1))
 
 
 def without_break(end: Column, start: Column, break_chars: str = "-=:") -> Column:

@@ -28,33 +28,26 @@ def equal_bounds(width: float, parts: int = 5) -> list[float]:
     return [width / parts * k for k in range(1, parts)]
 
 
-def _between(low: int, high: int):
-    return lambda n: (n > low) & (n <= high)  # a second argument would be the element's index
-
-
 def line_features(lines: DataFrame, *, text: str = "text", width: str | None = None, stop_words: list[str] | None = None, bounds: list = WIDTHS, boundaries: bool = False) -> DataFrame:
     """The counts of `doc_stats` for each line, beside the line's columns."""
-    words = T.boundary_words(F.col(text)) if boundaries else T.space_words(F.col(text))
-    per_line = T.filled(T.space_words(F.col(text)))
-    out = lines.where(F.col(text).isNotNull()).withColumns({"__w": words, "__f": per_line})
-    w = F.col("__w")
-    cols = {"num_words": F.size(w)} | {name: T.count_like(w, p) for name, p in T.WORD_CATEGORIES.items()}
-    cols["num_non_title_words"] = F.size(w) - cols["num_title_words"]
-    cols["num_stop_words"] = F.size(F.filter(w, lambda x: x.isin(stop_words))) if stop_words is not None else F.lit(None).cast("int")
-    lengths = F.transform(w, F.length)
-    cols["num_oversized_words"] = F.size(F.filter(lengths, lambda n: n > T.MAX_WORD_LENGTH))
-    for high in range(T.LENGTH_STEP, T.MAX_WORD_LENGTH + 1, T.LENGTH_STEP):
-        cols[f"num_words_length_{high}"] = F.size(F.filter(lengths, _between(high - T.LENGTH_STEP, high)))
-    cols["__wpl"] = T.line_bin(F.size("__f"))
-    cols["__awpl"] = T.line_bin(T.count_like(F.col("__f"), T.ALPHA))
-    out = out.withColumns(cols)
+    out = lines.where(F.col(text).isNotNull())
+    if boundaries:  # the words as a text again, for one kind of counting
+        words = T.boundary_words(F.col(text))
+        out = out.withColumn("__w", words).withColumns({"__t": F.array_join("__w", " "), "__n": F.size("__w")}).drop("__w")
+    else:
+        out = out.withColumns({"__t": F.col(text), "__n": F.regexp_count(text, F.lit(" ")) + 1})
+    cols = {n: F.when(F.col("__n") > 0, c).otherwise(0) for n, c in T.word_counts(F.col("__t"), F.col("__n")).items()}
+    stops = F.size(F.filter(F.split("__t", " ", -1), lambda x: x.isin(stop_words))) if stop_words is not None else F.lit(None).cast("int")
+    line = F.col(text)
+    cols |= {"num_stop_words": stops, "__wpl": T.line_bin(F.regexp_count(line, F.lit("[^ ]+"))), "__awpl": T.line_bin(T.word_counts(line, F.lit(0))["num_alpha_words"])}
+    out = out.withColumns(cols).withColumn("num_non_title_words", F.col("num_words") - F.col("num_title_words"))
     for low, high in T.LINE_BINS:
         name = f"{low}-{high}"
         out = out.withColumns({f"words_per_line_{name}": (F.col("__wpl") == name).cast("int"), f"alpha_words_per_line_{name}": (F.col("__awpl") == name).cast("int")})
     if width:
         rng = width_range(F.col(width), bounds)
         out = out.withColumns({f"line_width_range_{r}": (rng == r).cast("int") for r in width_ranges(bounds)})
-    return out.drop("__w", "__f", "__wpl", "__awpl")
+    return out.drop("__t", "__n", "__wpl", "__awpl")
 
 
 def doc_stats(lines: DataFrame, keys: list[str], **options) -> DataFrame:

@@ -46,9 +46,10 @@ def typical_words(freq: DataFrame, side: str, threshold: float = 0.5) -> DataFra
 def line_pairs(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each line with text together with the words of the one before: end_word and start_word (null where there is none)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = lines.where(F.col("words").isNotNull()).withColumn("__p", F.lag("words").over(w))
-    ok = (F.size("__p") > 0) & (F.size("words") > 0)
-    return out.withColumns({"end_word": F.when(ok, F.element_at("__p", -1)), "start_word": F.when(ok, F.col("words")[0])}).drop("__p")
+    some = lines.where(F.col("words").isNotNull())
+    out = some.withColumns({"__last": F.when(F.size("words") > 0, F.element_at("words", -1)), "__first": F.get("words", F.lit(0))}).withColumn("__p", F.lag("__last").over(w))
+    ok = F.col("__p").isNotNull() & F.col("__first").isNotNull()
+    return out.withColumns({"end_word": F.when(ok, F.col("__p")), "start_word": F.when(ok, F.col("__first"))}).drop("__p", "__last", "__first")
 
 
 def pair_candidates(pairs: DataFrame, freq: DataFrame, break_chars: str = "-") -> DataFrame:
@@ -144,11 +145,12 @@ def paragraphs(lines: DataFrame, keys: list[str], order: str, decisions: DataFra
     character, with it, or with a space; offsets are running sums of what the lines before wrote.
     """
     marks = _marks(break_chars)
-    some = lines.where(F.length(text) > 0)
+    # of the words only the first and the last go on
+    some = lines.where(F.length(text) > 0).select(*keys, order, text, F.get("words", F.lit(0)).alias("__first"), F.element_at("words", -1).alias("end_word"))
     w = Window.partitionBy(*keys).orderBy(order)
-    nexts = some.withColumns({"__next": F.lead("words").over(w), "__more": F.lead(F.lit(1)).over(w)}).withColumns({"end_word": F.element_at("words", -1), "start_word": F.col("__next")[0]})
+    nexts = some.withColumns({"start_word": F.lead("__first").over(w), "__more": F.lead(F.lit(1)).over(w)})
     if decisions is None:
-        ends = F.coalesce((F.size("words") > 0) & (F.size("__next") > 0) & F.col("end_word").rlike(f"[{marks}]$"), F.lit(False))
+        ends = F.coalesce(F.col("end_word").isNotNull() & F.col("start_word").isNotNull() & F.col("end_word").rlike(f"[{marks}]$"), F.lit(False))
         nexts = nexts.withColumns({"merges": ends, "merge_word": F.when(ends, T.without_break(F.col("end_word"), F.col("start_word"), break_chars))})
     else:
         nexts = nexts.join(decisions, ["end_word", "start_word"], "left").na.fill(False, ["merges"])

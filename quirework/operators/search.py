@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _W, _N = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+_MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3"  # noncharacters: they stand in no text
 
 
 def term_pattern(term: str) -> str:
@@ -25,32 +25,26 @@ def keyword_in_context(lines: DataFrame, term: str, *, text: str = "text", keys:
     """`keys`, term, term_match, hit (from 1, in the line), match_offset (from 0), pre, post and context of each match.
 
     Matches with their context words don't overlap. `max_hits` limits the result; which matches it keeps is open.
+    The line is searched once: the pattern puts marks (characters that no text may hold) around the parts of each match.
     """
-    around = f"(?U)({_W}+{_N}+){{0,{context}}}\\b({term_pattern(term)})\\b({_N}+{_W}+){{0,{context}}}"
-    pattern = F.lit(("(?i)" if ignorecase else "") + around)
-    cheap = F.col(text).rlike(("(?i)" if ignorecase else "") + term_pattern(term))  # most lines end here
-    found = lines.where(cheap).select(*keys, F.col(text).alias("__t"), F.arrays_zip(F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(F.col(text), pattern, F.lit(2)).alias("main")).alias("__m"))
-    # matches follow one another, so each lies after the ones before it
-    hits = found.select(*keys, "__t", "__m", F.posexplode("__m").alias("hit", "m"))
-    main, whole = F.col("m.main"), F.col("m.whole")
-    split = F.instr(whole, main)
-    pre, post = F.substring(whole, F.lit(1), split - 1), F.substring(whole, split + F.length(main), F.length(whole))
-    out = hits.select(*keys, F.lit(term).alias("term"), main.alias("term_match"), (F.col("hit") + 1).alias("hit"), _offset(F.col("__t"), F.col("__m"), F.col("hit")).alias("match_offset"), pre.alias("pre"), post.alias("post"), F.concat(F.when(F.length(pre) < context * 10, F.lpad(pre, context * 10, " ")).otherwise(pre), main, post).alias("context"))
+    case = "(?i)" if ignorecase else ""
+    # a match begins with a whole word, so the words before the term are tried from the starts of words only
+    before, after = f"(?:(?<!{_W})(?:{_W}++{_N}++){{1,{context}}})?", f"(?:{_N}++{_W}++){{0,{context}}}"
+    pattern = f"{case}(?U)(?<pre>{before})\\b(?<main>{term_pattern(term)})\\b(?<post>{after})"
+    cheap = F.col(text).rlike(case + term_pattern(term))  # most lines end here
+    marked = F.regexp_replace(F.translate(F.col(text), _MARKS, " " * len(_MARKS)), pattern, "{}${{pre}}{}${{main}}{}${{post}}{}".format(*_MARKS))
+    found = lines.where(cheap).select(*keys, F.split(marked, _MARKS[0], -1).alias("__p")).where(F.size("__p") > 1)
+    hits = found.select(*keys, F.transform("__p", lambda p: F.length(p)).alias("__n"), F.posexplode("__p").alias("hit", "__m")).where("hit > 0")
+    # each match has three marks in its piece beside the one that it was split at
+    offset = F.aggregate(F.slice("__n", F.lit(1), F.col("hit")), F.lit(0), lambda s, n: s + n) - 3 * (F.col("hit") - 1)
+    part = lambda i: F.split("__m", f"[{_MARKS[1:]}]", -1)[i]
+    out = hits.select(*keys, F.lit(term).alias("term"), "hit", offset.alias("match_offset"), part(0).alias("pre"), part(1).alias("term_match"), part(2).alias("post"))
+    pre = F.col("pre")
+    whole = F.concat(F.when(F.length(pre) < context * 10, F.lpad(pre, context * 10, " ")).otherwise(pre), "term_match", "post")
+    out = out.select(*keys, "term", "term_match", "hit", "match_offset", "pre", "post", whole.alias("context"))
     return out if max_hits < 0 else out.limit(max_hits)
 
 
-def _offset(text: Column, matches: Column, hit: Column) -> Column:
-    """Where the hit's whole match begins: each one is sought after the end of the one before."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-    def step(acc: Column, m: Column) -> Column:
-        rest = F.substring(text, acc["end"] + 1, F.length(text))
-        at = acc["end"] + F.instr(rest, m["whole"]) - 1
-        return F.struct(at.cast("int").alias("at"), (at + F.length(m["whole"])).cast("int").alias("end"))
-
-    return F.aggregate(F.slice(matches, F.lit(1), hit + 1), start, step)["at"]
-
-
 def match_frequency(hits: DataFrame) -> DataFrame:
     return hits.groupBy("term_match").agg(F.count("*").alias("freq"))
 
@@ -83,44 +77,54 @@ def similar_words(queries: DataFrame, words: DataFrame, *, top: int = 10, n: int
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "rank", "token", "score")
 
 
+QUERIES_PER_BLOCK, WORDS_PER_BLOCK = 1_000, 50_000
+
+
 def similar_vocabulary(words: DataFrame, *, top: int = 10, n: int = 2, skip: int = 1) -> DataFrame:
     """As `similar_words` with every token of `words` as a query.
 
-    The distinct tokens and their skip-grams reach the driver and are broadcast; each task keeps the `top` of its queries
-    only. The time grows with the square of the vocabulary.
+    A block of queries meets a block of the vocabulary in a task, which keeps the `top` of each query; the best of all
+    blocks are the result. Blocks are of bounded size; the time grows with the square of the vocabulary.
     """
-    spark = words.sparkSession
-    table = words.select("token").where("token is not null").distinct().orderBy("token").select("token", skipgrams(F.col("token"), n, skip).alias("g")).toArrow()
-    tokens = table["token"].combine_chunks()
-    lists = table["g"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    gram = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    order = np.argsort(gram, kind="stable").astype(np.int64)
-    posting = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-    first = np.append(0, np.cumsum(np.bincount(gram)))
-    start = np.append(0, np.cumsum(sizes))
-    shared = spark.sparkContext.broadcast((tokens, sizes, gram, start, posting, first))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sizes, gram, start, posting, first = shared.value
-        for b in batches:
-            query, rank, found, score = [], [], [], []
-            for q in b.column(0).to_pylist():
-                own = gram[start[q] : start[q + 1]]
-                common = np.bincount(np.concatenate([posting[first[g] : first[g + 1]] for g in own]))
-                at = np.flatnonzero(common)
-                s = common[at] / np.sqrt((sizes[q] * sizes[at]).astype(np.float64))
-                if len(s) > top:
-                    near = s >= np.partition(s, len(s) - top)[len(s) - top]
-                    at, s = at[near], s[near]
-                best = np.lexsort((at, -s))[:top]
-                query += [q] * len(best)
-                rank += range(1, len(best) + 1)
-                found.append(at[best])
-                score.append(s[best])
-            if query:
-                take = lambda i: tokens.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([take(query), pa.array(rank, pa.int32()), take(np.concatenate(found)), pa.array(np.concatenate(score))], ["query", "rank", "token", "score"])
-
-    parts = max(1, -(-len(sizes) // 2000))
-    return spark.range(0, len(sizes), 1, parts).mapInArrow(run, "query string, rank int, token string, score double")
+    vocabulary = words.select("token").where("token is not null").distinct().select("token", skipgrams(F.col("token"), n, skip).alias("g"))
+    many = vocabulary.count()
+    blocks = lambda size: max(1, -(-many // size))
+    wide = blocks(WORDS_PER_BLOCK)
+    tall = blocks(max(QUERIES_PER_BLOCK, many // 200))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda k: F.pmod(F.xxhash64("token"), F.lit(k)).cast("int")
+    queries = vocabulary.select("*", own(tall).alias("q"), every(wide).alias("v"))
+    others = vocabulary.select("*", every(tall).alias("q"), own(wide).alias("v"))
+
+    def run(asked: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("token")
+        tokens = found["token"].combine_chunks()
+        lists, wanted = found["g"].combine_chunks(), asked["g"].combine_chunks()
+        sizes, q_sizes = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, wanted))
+        grams = lists.flatten().dictionary_encode()
+        gram = grams.indices.to_numpy(zero_copy_only=False)
+        posting = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(gram, kind="stable")]
+        first = np.append(0, np.cumsum(np.bincount(gram, minlength=len(grams.dictionary))))
+        known = pc.index_in(wanted.flatten(), value_set=grams.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+        start = np.append(0, np.cumsum(q_sizes))
+        query, place, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for q in range(len(q_sizes)):
+            mine = [posting[first[g] : first[g + 1]] for g in known[start[q] : start[q + 1]] if g >= 0]
+            if not mine:
+                continue
+            common = np.bincount(np.concatenate(mine))
+            at = np.flatnonzero(common)
+            s = common[at] / np.sqrt((q_sizes[q] * sizes[at]).astype(np.float64))
+            if len(s) > top:
+                near = s >= np.partition(s, len(s) - top)[len(s) - top]
+                at, s = at[near], s[near]
+            best = np.lexsort((at, -s))[:top]
+            query.append(np.full(len(best), q))
+            place.append(at[best])
+            score.append(s[best])
+        take = lambda col, i: col.take(pa.array(np.concatenate(i)))
+        return pa.table({"query": take(asked["token"].combine_chunks(), query), "token": take(tokens, place), "score": np.concatenate(score)})
+
+    scored = queries.groupBy("q", "v").cogroup(others.groupBy("q", "v")).applyInArrow(run, "query string, token string, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "token")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "rank", "token", "score")

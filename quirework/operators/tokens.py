@@ -19,14 +19,14 @@ def line_tokens(lines: DataFrame, kind: str, *, keys: list[str] = [], text: str
     return some.select(*keys, F.size("__t").alias("n"), F.posexplode("__t").alias("pos", "token"))
 
 
-def position_frequencies(tokens: DataFrame, kind: str) -> DataFrame:
-    """token and its frequency in all, start, mid and end position.
+def position_frequencies(tokens: DataFrame, kind: str, keys: list[str] = []) -> DataFrame:
+    """`keys`, token and its frequency in all, start, mid and end position.
 
     A line of one word is start and end; a line of one character is start only.
     """
     first, last = F.col("pos") == 0, F.col("pos") == F.col("n") - 1
     end = last & (F.col("n") > 1) if kind == "char" else last
-    return tokens.groupBy("token").agg(F.count("*").alias("all_freq"), F.count_if(first).alias("start_freq"), F.count_if(~first & ~last).alias("mid_freq"), F.count_if(end).alias("end_freq"))
+    return tokens.groupBy(*keys, "token").agg(F.count("*").alias("all_freq"), F.count_if(first).alias("start_freq"), F.count_if(~first & ~last).alias("mid_freq"), F.count_if(end).alias("end_freq"))
 
 
 def position_fractions(freq: DataFrame) -> DataFrame:

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out to all cores if its files are fewer pieces than those; a large table stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, line_no (from 0) and text of the lines of `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 

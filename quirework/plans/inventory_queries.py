@@ -57,7 +57,10 @@ _HOMOGENEITY = f"""SELECT source, round(greatest({", ".join(f'"{c}"' for c in _W
 
 def docs_per_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the number of documents of its inventory."""
-    return table(spark, sf, "documents").select("doc_id", "source", F.count("*").over(Window.partitionBy("source")).alias("docs"))
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    # counted before the shuffle; a row for each inventory then meets the documents, which lie where they are if it is small
+    many = docs.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("docs"))
+    return docs.join(many, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "docs")
 
 
 def classify_shape(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,10 +88,11 @@ def long_word_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of each inventory by language, a column for each language."""
-    langs = ["de", "en", "es", "fr"]
-    p = table(spark, sf, "documents").groupBy("source").pivot("lang", langs).agg(F.count(F.lit(1)))
-    return p.na.fill(0, langs)
+    """Documents of each inventory by language: one entry for each language of the table, also where there are none."""
+    docs = table(spark, sf, "documents").select("source", F.coalesce("lang", F.lit("?")).alias("lang"))
+    langs = sorted(r[0] for r in docs.select("lang").distinct().collect())  # a row for each language
+    p = docs.groupBy("source").pivot("lang", langs).agg(F.count(F.lit(1))).na.fill(0, langs)
+    return p.select("source", F.concat_ws(" ", *[F.concat(F.lit(f"{v}:"), F.col(f"`{v}`")) for v in langs]).alias("docs"))
 
 
 def hierarchy_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,6 +118,7 @@ QUERIES = {
     "subset_compare": (subset_compare, _sql("SELECT quality, count(*) AS docs, round(avg(lines), 4) AS lines, round(avg(num_words), 4) AS words, round(avg(num_title_words), 4) AS title_words FROM s JOIN labels USING (doc_id) GROUP BY quality")),
     "long_word_outliers": (long_word_outliers, _sql(f"SELECT doc_id, {' + '.join(_LONG)} AS long_words FROM s ORDER BY long_words DESC, doc_id LIMIT 10")),
     "range_filter": (lambda s, d: features(s, d).where("num between 20 and 60").select("source", "num", "doc_id", "lines"), _sql("SELECT source, num, doc_id, lines FROM s WHERE num BETWEEN 20 AND 60")),
-    "document_matrix": (document_matrix, "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source"),
+    "document_matrix": (document_matrix, """WITH d AS (SELECT source, coalesce(lang, '?') AS lang FROM documents), c AS (SELECT source, lang, count(*) AS n FROM d GROUP BY source, lang)
+SELECT s.source, string_agg(l.lang || ':' || coalesce(c.n, 0), ' ' ORDER BY l.lang) AS docs FROM (SELECT DISTINCT source FROM d) s CROSS JOIN (SELECT DISTINCT lang FROM d) l LEFT JOIN c ON c.source IS NOT DISTINCT FROM s.source AND c.lang = l.lang GROUP BY s.source"""),
     "hierarchy_totals": (hierarchy_totals, _sql("SELECT source, lang, CAST(grouping(source, lang) AS BIGINT) AS level, count(*) AS docs, CAST(sum(num_words) AS BIGINT) AS words FROM s GROUP BY ROLLUP (source, lang)")),
 }

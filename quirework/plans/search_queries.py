@@ -15,13 +15,8 @@ TERM, WILD = "that", "th*"
 _SQL_W = r"[\p{L}\p{N}_]"
 
 
-def _english(spark: SparkSession, sf: str) -> DataFrame:
-    """The English lines without letters beyond ASCII: RE2 knows no other word boundaries."""
-    return doc_lines(spark, sf).where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-
-
 def _hits(spark: SparkSession, sf: str, term: str) -> DataFrame:
-    return S.keyword_in_context(_english(spark, sf), term, keys=["doc_id", "line_no"])
+    return S.keyword_in_context(doc_lines(spark, sf), term, keys=["doc_id", "line_no"])
 
 
 def kwic(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,54 +31,34 @@ def kwic_match_freq(spark: SparkSession, sf: str) -> DataFrame:
     return S.match_frequency(_hits(spark, sf, WILD))
 
 
-def _all_hits(spark: SparkSession, sf: str, term: str) -> DataFrame:
-    """Hits in all lines, whatever their language and letters; RE2 can't tell their words apart, so they have no SQL."""
-    return S.keyword_in_context(doc_lines(spark, sf), term, keys=["doc_id", "line_no"])
-
-
-def kwic_all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_hits(spark, sf, TERM).drop("term")
-
-
-def kwic_wildcard_all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_hits(spark, sf, WILD).select("doc_id", "line_no", "hit", "term_match", "pre", "post")
-
-
-def kwic_match_freq_all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return S.match_frequency(_all_hits(spark, sf, WILD))
-
-
-def _kwic_sql(pattern: str, tail: str) -> str:
-    """Matches follow one another in the line: each begins where the text left by the ones before it first holds it."""
-    around = rf"(?i)(\w+\W+){{0,3}}\b({pattern})\b(\W+\w+){{0,3}}"
-    return rf"""WITH RECURSIVE {DOC_LINES}, en AS (SELECT * FROM doc_lines WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')),
- m AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '{around}') AS wh, regexp_extract_all(text, '{around}', 2) AS mn FROM en WHERE regexp_matches(text, '(?i){pattern}')),
- h AS (SELECT doc_id, line_no, 0 AS i, text AS rest, 0 AS used, -1 AS o, wh, mn FROM m
-   UNION ALL SELECT doc_id, line_no, i + 1, substr(rest, instr(rest, wh[i + 1]) + length(wh[i + 1])), used + instr(rest, wh[i + 1]) - 1 + length(wh[i + 1]), used + instr(rest, wh[i + 1]) - 1, wh, mn FROM h WHERE i < len(wh)),
- k AS (SELECT doc_id, line_no, CAST(i AS INTEGER) AS hit, CAST(o AS INTEGER) AS match_offset, mn[i] AS term_match, left(wh[i], instr(wh[i], mn[i]) - 1) AS pre, substr(wh[i], instr(wh[i], mn[i]) + length(mn[i])) AS post FROM h WHERE i > 0)
+def _kwic_sql(term: str, tail: str) -> str:
+    """Over words by number: a match begins three words before the first term that is left, or where the match before it
+    ended; its term is the last one within three words from there; three words follow."""
+    at = "2 * {} - (CASE WHEN tk[1] <> '' AND regexp_matches(tk[1], '^[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 0 END)".format
+    return rf"""WITH RECURSIVE {DOC_LINES}, tok AS (SELECT doc_id, line_no, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS tk FROM doc_lines WHERE regexp_matches(text, '(?i){term}')),
+ num AS (SELECT doc_id, line_no, tk, list_filter(tk, lambda t: regexp_matches(t, '^[\p{{L}}\p{{N}}_]')) AS wd FROM tok),
+ flg AS (SELECT doc_id, line_no, tk, len(wd) AS n, list_filter(range(1, len(wd) + 1), lambda i: regexp_matches(wd[i], '(?i)^({term})$')) AS fl FROM num),
+ h AS (SELECT doc_id, line_no, tk, n, fl, 0 AS hit, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS e FROM flg WHERE len(fl) > 0
+   UNION ALL SELECT doc_id, line_no, tk, n, fl, hit + 1, s2, t2, least(t2 + 3, n) FROM (
+     SELECT *, list_max(list_filter(fl, lambda x: x >= s2 AND x <= s2 + 3)) AS t2 FROM (
+       SELECT *, greatest(e + 1, list_min(list_filter(fl, lambda x: x > e)) - 3) AS s2 FROM h WHERE len(list_filter(fl, lambda x: x > e)) > 0))),
+ k AS (SELECT doc_id, line_no, CAST(hit AS INTEGER) AS hit, CAST(length(array_to_string(tk[1:{at("s")} - 1], '')) AS INTEGER) AS match_offset, tk[{at("t")}] AS term_match,
+   array_to_string(tk[{at("s")}:{at("t")} - 1], '') AS pre, array_to_string(tk[{at("t")} + 1:{at("e")}], '') AS post FROM h WHERE hit > 0)
  {tail}"""
 
 
 def similar_words(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten most similar words of the corpus for the ten most frequent long words."""
-    words = K.word_frequency(doc_lines(spark, sf))
-    queries = words.where(F.length("token") >= 8).orderBy(F.desc("freq"), "token").limit(10).select(F.col("token").alias("query"))
-    out = S.similar_words(queries, words)
-    return out.withColumn("score", F.round("score", 6))
-
-
-def similar_words_all(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar words of the corpus for every word of it."""
     return S.similar_vocabulary(K.word_frequency(doc_lines(spark, sf))).withColumn("score", F.round("score", 6))
 
 
-_SIMILAR = rf"""WITH {DOC_LINES}, t AS (SELECT unnest(regexp_extract_all(text, '{_SQL_W}+')) AS token FROM doc_lines), v AS (SELECT token, count(*) AS freq FROM t GROUP BY token),
- q AS (SELECT token AS query FROM v WHERE length(token) >= 8 ORDER BY freq DESC, token LIMIT 10),
+_SIMILAR = rf"""WITH {DOC_LINES}, t AS (SELECT unnest(regexp_extract_all(text, '{_SQL_W}+')) AS token FROM doc_lines), v AS (SELECT DISTINCT token FROM t),
  h AS (SELECT token, '#' || lower(token) || '#' AS w FROM v),
  g AS (SELECT DISTINCT token, w[i] || w[i + d] AS g FROM (SELECT token, w, unnest(range(1, length(w) + 1)) AS i FROM h), (SELECT unnest([1, 2]) AS d) WHERE i + d <= length(w)),
  n AS (SELECT token, count(*) AS n FROM g GROUP BY token),
- s AS (SELECT q.query, b.token, count(*) / sqrt(any_value(nq.n) * any_value(nb.n)) AS score FROM q JOIN g a ON a.token = q.query JOIN g b ON a.g = b.g JOIN n nq ON nq.token = q.query JOIN n nb ON nb.token = b.token GROUP BY q.query, b.token)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, token) AS INTEGER) AS rank, token, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+ s AS (SELECT a.token AS query, b.token, count(*) AS c FROM g a JOIN g b ON a.g = b.g GROUP BY a.token, b.token),
+ f AS (SELECT s.query, s.token, c / sqrt(nq.n * nb.n) AS score FROM s JOIN n nq ON nq.token = s.query JOIN n nb ON nb.token = s.token)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, token) AS INTEGER) AS rank, token, round(score, 6) AS score FROM f QUALIFY rank <= 10"""
 
 
 def _broken(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,14 +147,10 @@ SELECT DISTINCT pw[-1] AS end_word, words[1] AS start_word, regexp_replace(pw[-1
 
 QUERIES = {
     "kwic": (kwic, _kwic_sql("that", "SELECT doc_id, line_no, hit, match_offset, term_match, pre, post, CASE WHEN length(pre) < 30 THEN lpad(pre, 30, ' ') ELSE pre END || term_match || post AS context FROM k")),
-    "kwic_wildcard": (kwic_wildcard, _kwic_sql(r"th\w*", "SELECT doc_id, line_no, hit, term_match, pre, post FROM k")),
-    "kwic_match_freq": (kwic_match_freq, _kwic_sql(r"th\w*", "SELECT term_match, count(*) AS freq FROM k GROUP BY term_match")),
-    "kwic_all_lines": (kwic_all_lines, None),
-    "kwic_wildcard_all_lines": (kwic_wildcard_all_lines, None),
-    "kwic_match_freq_all_lines": (kwic_match_freq_all_lines, None),
+    "kwic_wildcard": (kwic_wildcard, _kwic_sql(r"th[\p{L}\p{N}_]*", "SELECT doc_id, line_no, hit, term_match, pre, post FROM k")),
+    "kwic_match_freq": (kwic_match_freq, _kwic_sql(r"th[\p{L}\p{N}_]*", "SELECT term_match, count(*) AS freq FROM k GROUP BY term_match")),
     "mid_bigrams": (mid_bigrams, _BIGRAMS),
     "similar_words": (similar_words, _SIMILAR),
-    "similar_words_all": (similar_words_all, None),
     "broken_lines": (broken_lines, f"WITH {BROKEN} SELECT doc_id, line_no, text FROM broken"),
     "typical_line_words": (typical_line_words, _TYPICAL),
     "line_word_break": (line_word_break, _BREAKS),

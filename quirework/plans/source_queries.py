@@ -58,15 +58,11 @@ def inline_tag_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as tables: a row for each return flag, a column for each line number up to 3, missing cells empty."""
-    cells = geo_lines(spark, sf).where("line_no <= 3").select(F.col("scan").alias("path"), F.lit("t").alias("table_id"), F.ascii("region").alias("row"), (F.col("line_no") - 1).alias("col"), F.concat("x", F.lit("-"), "y").alias("value"))
-    return page_xml.table_grid(cells, 3)
-
-
-def table_pivot_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as tables with all their cells: as many columns as the largest line number of the table says."""
+    """Orders as tables with all their cells: a row for each return flag, as many columns as the largest line number of
+    the table says, their values as one text; absent cells are empty."""
     cells = geo_lines(spark, sf).select(F.col("scan").alias("path"), F.lit("t").alias("table_id"), F.ascii("region").alias("row"), (F.col("line_no") - 1).alias("col"), F.concat("x", F.lit("-"), "y").alias("value"))
-    return page_xml.table_grid(cells, (cells.agg(F.max("col")).first()[0] or 0) + 1)
+    n = (cells.agg(F.max("col")).first()[0] or 0) + 1
+    return page_xml.table_grid(cells, n).select("path", "table_id", "row", F.lit(n).alias("columns"), F.concat_ws(";", *[f"c{i}" for i in range(n)]).alias("cells"))
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,8 +99,8 @@ QUERIES = {
     "xml_words": (xml_words, f"WITH {GEO_LINES}, w AS (SELECT unnest(string_split({_TEXT}, ' ')) AS word FROM geo_lines) SELECT word, count(*) AS n FROM w GROUP BY word"),
     "custom_tags": (custom_tags, f"WITH {DOC_LINES}, n AS (SELECT doc_id, line_no, CAST(length(string_split(text, ' ')[1]) AS INTEGER) AS n FROM doc_lines) SELECT doc_id, line_no, 0 AS pos, 'readingOrder' AS tag_name, CAST(NULL AS INTEGER) AS \"offset\", CAST(NULL AS INTEGER) AS length, line_no AS index, CAST(NULL AS VARCHAR) AS kind FROM n UNION ALL SELECT doc_id, line_no, 1, 'word', 0, n, NULL, 'first' FROM n UNION ALL SELECT doc_id, line_no, 2, 'unclear', 2, 3, NULL, NULL FROM n"),
     "inline_tag_text": (inline_tag_text, f"WITH {DOC_LINES} SELECT doc_id, line_no, string_split(text, ' ')[1] AS word FROM doc_lines"),
-    "table_pivot": (table_pivot, f"WITH {GEO_LINES} SELECT scan AS path, 't' AS table_id, CAST(ascii(region) AS INTEGER) AS row, " + ", ".join(f"coalesce(max(x || '-' || y) FILTER (WHERE line_no = {i + 1}), '') AS c{i}" for i in range(3)) + " FROM geo_lines WHERE line_no <= 3 GROUP BY scan, region"),
-    "table_pivot_whole": (table_pivot_whole, None),
+    "table_pivot": (table_pivot, f"""WITH {GEO_LINES}, c AS (SELECT scan, region, list({{'i': line_no, 'v': x || '-' || y}}) AS c FROM geo_lines GROUP BY scan, region), m AS (SELECT CAST(max(line_no) AS INTEGER) AS n FROM geo_lines)
+SELECT scan AS path, 't' AS table_id, CAST(ascii(region) AS INTEGER) AS row, n AS columns, array_to_string(list_transform(range(1, n + 1), lambda i: coalesce(list_filter(c, lambda e: e.i = i)[1].v, '')), ';') AS cells FROM c, m"""),
     "json_roundtrip": (json_roundtrip, f"WITH {GEO_LINES} SELECT scan, region, line_no, x, y, w, h FROM geo_lines"),
     "line_format": (line_format, f"WITH {GEO_LINES} SELECT CAST(scan AS VARCHAR) AS doc_id, region AS textregion_id, 'l' || line_no AS line_id, 'line ' || line_no AS text, format('{{}},{{}},{{}},{{}}', x, y, w, h) AS line_box FROM geo_lines"),
     "number_parts": (number_parts, r"SELECT doc_id, array_to_string(regexp_extract_all(source || '.12A' || doc_id, '\d+|[A-Za-z]|\.'), '|') AS parts FROM documents"),

@@ -130,20 +130,12 @@ _TOTALS_SQL = f"WITH {WORD_TOKENS}, q AS ({_freq_sql(False)}) " + " UNION ALL ".
 
 
 def merged_analyses(spark: SparkSession, sf: str) -> DataFrame:
-    lines = doc_lines(spark, sf)
-    parts = [K.position_frequencies(K.line_tokens(lines.where(F.col("lang") == v), "word", ignorecase=True), "word") for v in ("en", "de")]
-    return K.merge_analyses(*parts)
-
-
-def merged_analyses_all(spark: SparkSession, sf: str) -> DataFrame:
     """The merged analyses of all languages of the table and of the documents without one."""
-    lines = doc_lines(spark, sf)
-    languages = [r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect()] or [None]
-    parts = [K.position_frequencies(K.line_tokens(lines.where(F.col("lang").eqNullSafe(F.lit(v))), "word", ignorecase=True), "word") for v in languages]
-    return K.merge_analyses(*parts)
+    each = K.position_frequencies(K.line_tokens(doc_lines(spark, sf), "word", keys=["lang"], ignorecase=True), "word", keys=["lang"])
+    return K.merge_analyses(each)
 
 
-_MERGED_SQL = f"WITH {WORD_TOKENS.replace('FROM documents)', chr(70) + 'ROM (SELECT * REPLACE (lower(text) AS text) FROM documents))')} {_freq_sql(False, chr(87) + 'HERE lang IN (' + repr('en') + ', ' + repr('de') + ')')}"
+_MERGED_SQL = f"WITH {WORD_TOKENS.replace('FROM documents)', chr(70) + 'ROM (SELECT * REPLACE (lower(text) AS text) FROM documents))')} {_freq_sql(False)}"
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +205,6 @@ QUERIES = {
     "word_positions": (_positions("word"), _positions_sql(False)),
     "position_totals": (position_totals, _TOTALS_SQL),
     "merged_analyses": (merged_analyses, _MERGED_SQL),
-    "merged_analyses_all": (merged_analyses_all, None),
     "keyness_quality": (keyness_quality, _keyness_sql("quality = 1", "quality = 0")),
     "keyness_language": (keyness_language, _keyness_sql("lang = 'fr'", "lang = 'es'")),
     "complement_keyness": (complement_keyness, _keyness_sql("source = 'src0'", "source <> 'src0'")),
