@@ -51,6 +51,10 @@ class Box:
     def struct(self) -> Column:
         return F.struct(self.x.alias("x"), self.y.alias("y"), self.w.alias("w"), self.h.alias("h"))
 
+    def corners(self) -> Column:
+        """The four corners as points in one string; null without a box."""
+        return F.when(~self.missing, F.concat_ws(" ", *[F.concat(x, F.lit(","), y) for x, y in ((self.x, self.y), (self.r, self.y), (self.r, self.b), (self.x, self.b))]))
+
     def text(self) -> Column:
         """x,y,w,h as one string; null without a box."""
         return F.when(~self.missing, F.concat_ws(",", self.x, self.y, self.w, self.h))
@@ -269,7 +273,9 @@ def sampled(pts: Column, step: int = 50) -> Column:
         return F.transform(at, lambda x: F.struct(x.alias("x"), (p["y"] - ((x - p["x"]) * slope).cast("int")).alias("y")))
 
     def latest(entries: Column) -> Column:
-        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["x"] == e["x"])))
+        once = F.size(F.array_distinct(F.transform(entries, lambda e: e["x"]))) == F.size(entries)  # as for most lines
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["x"] == e["x"]))
+        return F.when(once, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
 
     return _let(F.flatten(F.transform(pairs, between)), latest)
 

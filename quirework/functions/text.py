@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,25 +59,41 @@ def word_counts(text: Column, words: Column) -> dict[str, Column]:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def line_words(text: Column, break_chars: str = "-") -> Column:
     """The words of a line, break characters joined to the letters beside them; a null or empty line has none.
 
     A break character that is doubled, or set off by a space, at the end of the line loses the doubling or the space.
-    Marks go between the tokens of the line and are taken out again by replacements over the whole line.
+    Marks go around the tokens between words and are taken out again by replacements over the whole line; those for
+    break characters are made in lines that have some.
     """
     marks = "".join("\\" + c for c in break_chars)
-    clean = F.translate(text, _MARK, " ")
-    tail = F.regexp_replace(clean, rf"(?<=[{marks}])[{marks}]\z| (?=[{marks}]\z)", "")
-    lead = F.regexp_extract(tail, rf"^{_N}*", 0)  # a first token without letters stays as it is
-    rest = F.regexp_replace(tail, rf"^{_N}*", "")
-    body = F.regexp_replace(rest, f"({_N}+)", f"{_MARK}$1{_MARK}")
-    body = F.regexp_replace(body, rf"(?<!{_W})(\p{{L}}{_W}*){_MARK}(?=[{marks}])", "$1")
-    body = F.regexp_replace(body, rf"([{marks}]){_MARK}(?=\p{{L}})", "$1")
-    body = F.regexp_replace(body, rf"(?s){_MARK} (?={_MARK}.)|{_MARK} {_MARK}\z|{_MARK}\z", "")
-    body = F.regexp_replace(body, rf"(?<={_MARK}){_SPACES}+|{_SPACES}+(?={_MARK}|\z)", "")
-    joint = F.when((lead == "") | (lead.rlike(f"[{marks}]$") & rest.rlike(r"^\p{L}")), "").otherwise(_MARK)
-    whole = F.when(rest == "", lead).otherwise(F.concat(lead, joint, body))
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(whole, _MARK, -1))
+    any_of = lambda t, before, after: reduce(Column.__or__, [F.contains(t, F.lit(before + c + after)) for c in break_chars])
+    ends = F.substring(text, -1, 1).isin(list(break_chars))
+    tail = F.when(ends, F.regexp_replace(text, rf"(?<=[{marks}])[{marks}]\z| (?=[{marks}]\z)", "")).otherwise(text)
+
+    def split_lead(t: Column) -> Column:
+        return let(F.regexp_extract(t, rf"^{_N}*", 0), lambda lead: words(lead, t.substr(F.length(lead) + 1, F.length(t))))
+
+    def words(lead: Column, rest: Column) -> Column:
+        # a first token without letters stays as it is
+        joins = (lead == "") | (F.substring(lead, -1, 1).isin(list(break_chars)) & rest.rlike(r"^\p{L}"))
+        whole = F.when(rest == "", lead).otherwise(F.concat(lead, F.when(joins, "").otherwise(_MARK), marked(rest)))
+        return F.split(whole, _MARK, -1)
+
+    def marked(rest: Column) -> Column:
+        out = F.regexp_replace(rest, f"({_N}+)", f"{_MARK}$1{_MARK}")
+        out = let(out, lambda t: F.when(any_of(t, _MARK, ""), F.regexp_replace(t, rf"(?<!{_W})(\p{{L}}{_W}*){_MARK}(?=[{marks}])", "$1")).otherwise(t))
+        out = let(out, lambda t: F.when(any_of(t, "", _MARK), F.regexp_replace(t, rf"([{marks}]){_MARK}(?=\p{{L}})", "$1")).otherwise(t))
+        out = let(F.replace(out, F.lit(f"{_MARK} {_MARK}"), F.lit(_MARK)), lambda t: F.when(F.endswith(t, F.lit(_MARK)), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t))
+        return F.regexp_replace(out, rf"(?<={_MARK}){_SPACES}+|{_SPACES}+(?={_MARK}|\z)", "")
+
+    found = let(F.replace(tail, F.lit(_MARK), F.lit(" ")), split_lead)
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(found)
 
 
 def without_break(end: Column, start: Column, break_chars: str = "-=:") -> Column:

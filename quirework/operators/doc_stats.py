@@ -39,15 +39,17 @@ def line_features(lines: DataFrame, *, text: str = "text", width: str | None = N
     cols = {n: F.when(F.col("__n") > 0, c).otherwise(0) for n, c in T.word_counts(F.col("__t"), F.col("__n")).items()}
     stops = F.size(F.filter(F.split("__t", " ", -1), lambda x: x.isin(stop_words))) if stop_words is not None else F.lit(None).cast("int")
     line = F.col(text)
-    cols |= {"num_stop_words": stops, "__wpl": T.line_bin(F.regexp_count(line, F.lit("[^ ]+"))), "__awpl": T.line_bin(T.word_counts(line, F.lit(0))["num_alpha_words"])}
+    # counted once: a bin asks for its number again and again
+    cols |= {"num_stop_words": stops, "__filled": F.regexp_count(line, F.lit("[^ ]+")), "__alpha": T.word_counts(line, F.lit(0))["num_alpha_words"]}
     out = out.withColumns(cols).withColumn("num_non_title_words", F.col("num_words") - F.col("num_title_words"))
+    out = out.withColumns({"__wpl": T.line_bin(F.col("__filled")), "__awpl": T.line_bin(F.col("__alpha"))})
     for low, high in T.LINE_BINS:
         name = f"{low}-{high}"
         out = out.withColumns({f"words_per_line_{name}": (F.col("__wpl") == name).cast("int"), f"alpha_words_per_line_{name}": (F.col("__awpl") == name).cast("int")})
     if width:
         rng = width_range(F.col(width), bounds)
         out = out.withColumns({f"line_width_range_{r}": (rng == r).cast("int") for r in width_ranges(bounds)})
-    return out.drop("__t", "__n", "__wpl", "__awpl")
+    return out.drop("__t", "__n", "__filled", "__alpha", "__wpl", "__awpl")
 
 
 def doc_stats(lines: DataFrame, keys: list[str], **options) -> DataFrame:

@@ -30,15 +30,18 @@ def line_distances(lines: DataFrame, keys: list[str], order: list[str], baseline
     return nexts.select(*keys, *order, G.baseline_distances(F.col(baseline), F.col(f"n_{baseline}")).alias("distances"))
 
 
+def median_distances(distances: DataFrame, keys: list[str]) -> DataFrame:
+    """macro, the median of the pairs' mean distances, and micro, that of all distances; one shuffle for both."""
+    mean = F.aggregate("distances", F.lit(0.0), lambda s, d: s + d) / F.size("distances")
+    got = distances.groupBy(*keys).agg(F.collect_list(mean).alias("__m"), F.flatten(F.collect_list("distances")).alias("__d"))  # the lines of a region
+    return got.select(*keys, G.median(F.col("__m")).alias("macro"), G.median(F.col("__d")).alias("micro"))
+
+
 def median_distance(distances: DataFrame, keys: list[str], kind: str = "macro") -> DataFrame:
     """Median of the pairs' mean distances (macro) or of all distances (micro)."""
     if kind not in ("macro", "micro"):
         raise ValueError("kind is macro or micro")
-    if kind == "macro":
-        each = distances.select(*keys, (F.aggregate("distances", F.lit(0.0), lambda s, d: s + d) / F.size("distances")).alias("d"))
-    else:
-        each = distances.select(*keys, F.explode("distances").alias("d"))
-    return each.groupBy(*keys).agg(F.expr("percentile(d, 0.5)").alias("avg_line_distance"))
+    return median_distances(distances, keys).select(*keys, F.col(kind).alias("avg_line_distance"))
 
 
 def coverage(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -80,20 +80,21 @@ def similar_words(queries: DataFrame, words: DataFrame, *, top: int = 10, n: int
 QUERIES_PER_BLOCK, WORDS_PER_BLOCK = 1_000, 50_000
 
 
-def similar_vocabulary(words: DataFrame, *, top: int = 10, n: int = 2, skip: int = 1) -> DataFrame:
-    """As `similar_words` with every token of `words` as a query.
+def similar_vocabulary(words: DataFrame, queries: DataFrame | None = None, *, top: int = 10, n: int = 2, skip: int = 1) -> DataFrame:
+    """As `similar_words` with many queries (column query), by default every token of `words`.
 
     A block of queries meets a block of the vocabulary in a task, which keeps the `top` of each query; the best of all
-    blocks are the result. Blocks are of bounded size; the time grows with the square of the vocabulary.
+    blocks are the result. Blocks are of bounded size; the time grows with queries times vocabulary.
     """
-    vocabulary = words.select("token").where("token is not null").distinct().select("token", skipgrams(F.col("token"), n, skip).alias("g"))
-    many = vocabulary.count()
-    blocks = lambda size: max(1, -(-many // size))
-    wide = blocks(WORDS_PER_BLOCK)
-    tall = blocks(max(QUERIES_PER_BLOCK, many // 200))
+    with_grams = lambda df: df.where("token is not null").distinct().select("token", skipgrams(F.col("token"), n, skip).alias("g"))
+    vocabulary = with_grams(words.select("token"))
+    asked = vocabulary if queries is None else with_grams(queries.select(F.col("query").alias("token")))
+    wide = max(1, -(-vocabulary.count() // WORDS_PER_BLOCK))
+    many = asked.count()
+    tall = max(1, -(-many // max(QUERIES_PER_BLOCK, many // 200)))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = lambda k: F.pmod(F.xxhash64("token"), F.lit(k)).cast("int")
-    queries = vocabulary.select("*", own(tall).alias("q"), every(wide).alias("v"))
+    rows = asked.select("*", own(tall).alias("q"), every(wide).alias("v"))
     others = vocabulary.select("*", every(tall).alias("q"), own(wide).alias("v"))
 
     def run(asked: pa.Table, found: pa.Table) -> pa.Table:
@@ -125,6 +126,6 @@ def similar_vocabulary(words: DataFrame, *, top: int = 10, n: int = 2, skip: int
         take = lambda col, i: col.take(pa.array(np.concatenate(i)))
         return pa.table({"query": take(asked["token"].combine_chunks(), query), "token": take(tokens, place), "score": np.concatenate(score)})
 
-    scored = queries.groupBy("q", "v").cogroup(others.groupBy("q", "v")).applyInArrow(run, "query string, token string, score double")
+    scored = rows.groupBy("q", "v").cogroup(others.groupBy("q", "v")).applyInArrow(run, "query string, token string, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "rank", "token", "score")

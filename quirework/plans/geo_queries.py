@@ -116,8 +116,7 @@ def line_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_distance_median(spark: SparkSession, sf: str) -> DataFrame:
     d = L.line_distances(_with_baseline(geo_lines(spark, sf)), ["scan", "region"], ["line_no"])
-    both = L.median_distance(d, ["scan", "region"]).join(L.median_distance(d, ["scan", "region"], "micro").withColumnRenamed("avg_line_distance", "micro"), ["scan", "region"])
-    return both.select("scan", "region", F.round("avg_line_distance", 6).alias("macro"), F.round("micro", 6).alias("micro"))
+    return L.median_distances(d, ["scan", "region"]).select("scan", "region", F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"))
 
 
 # the heights of a baseline at a multiple of 50: a segment begins after its left end, the second segment counts where both have it

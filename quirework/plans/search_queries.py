@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import running_text as R
 from ..operators import search as S
 from ..operators import tokens as K
+from ..sources.shared import materialise
 from .frames import DOC_LINES, doc_lines
 from .text_queries import LINE_WORDS, WORD_TOKENS
 
@@ -48,17 +49,10 @@ def _kwic_sql(term: str, tail: str) -> str:
 
 
 def similar_words(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten most similar words of the corpus for every word of it."""
-    return S.similar_vocabulary(K.word_frequency(doc_lines(spark, sf))).withColumn("score", F.round("score", 6))
-
-
-_SIMILAR = rf"""WITH {DOC_LINES}, t AS (SELECT unnest(regexp_extract_all(text, '{_SQL_W}+')) AS token FROM doc_lines), v AS (SELECT DISTINCT token FROM t),
- h AS (SELECT token, '#' || lower(token) || '#' AS w FROM v),
- g AS (SELECT DISTINCT token, w[i] || w[i + d] AS g FROM (SELECT token, w, unnest(range(1, length(w) + 1)) AS i FROM h), (SELECT unnest([1, 2]) AS d) WHERE i + d <= length(w)),
- n AS (SELECT token, count(*) AS n FROM g GROUP BY token),
- s AS (SELECT a.token AS query, b.token, count(*) AS c FROM g a JOIN g b ON a.g = b.g GROUP BY a.token, b.token),
- f AS (SELECT s.query, s.token, c / sqrt(nq.n * nb.n) AS score FROM s JOIN n nq ON nq.token = s.query JOIN n nb ON nb.token = s.token)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, token) AS INTEGER) AS rank, token, round(score, 6) AS score FROM f QUALIFY rank <= 10"""
+    """The ten most similar words of the whole corpus for every word of the documents whose id is divisible by 20."""
+    lines = doc_lines(spark, sf)
+    queries = K.word_frequency(lines.where("doc_id % 20 = 0")).select(F.col("token").alias("query"))
+    return S.similar_vocabulary(K.word_frequency(lines), queries).withColumn("score", F.round("score", 6))
 
 
 def _broken(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +65,7 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mid_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    w = _words(spark, sf)
+    w = materialise(_words(spark, sf).select("words"), "words")  # read for the words and for the pairs
     return R.mid_bigrams(w, R.word_frequencies(w))
 
 
@@ -82,8 +76,8 @@ SELECT first, second, count(*) AS freq FROM p JOIN freq a ON a.word = first JOIN
 
 def typical_line_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words that are typical of line starts and ends."""
-    f = R.word_frequencies(_broken(spark, sf))
-    sides = [f.where((F.col(s) > 5) & (F.col(s) / F.col("all") > 0.5)).select(F.lit(s).alias("side"), "word", F.col(s).alias("freq")) for s in ("start", "end")]
+    f = materialise(R.word_frequencies(_broken(spark, sf)), "words")
+    sides = [R.typical_words(f, side).select(F.lit(side).alias("side"), "word", F.col(side).alias("freq")) for side in ("start", "end")]
     return sides[0].union(sides[1])
 
 
@@ -106,9 +100,9 @@ def line_word_break(spark: SparkSession, sf: str) -> DataFrame:
 
 def word_break_model(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions of the corpus model for all pairs of line ends and starts."""
-    w = _broken(spark, sf)
-    freq = R.word_frequencies(w)
-    cand = R.pair_candidates(R.line_pairs(w, ["doc_id"], ["line_no"]), freq)
+    w = materialise(_broken(spark, sf).select("doc_id", "line_no", "words"), "words")
+    freq = materialise(R.word_frequencies(w), "frequencies")
+    cand = materialise(R.pair_candidates(R.line_pairs(w, ["doc_id"], ["line_no"]), freq), "candidates")
     return R.decide(cand, R.merge_classes(freq, R.merge_counts(cand)), R.mid_bigrams(w, freq))
 
 
@@ -141,7 +135,7 @@ _TEXT = " SELECT doc_id, string_agg(p, '' ORDER BY line_no) AS paragraph FROM pc
 _BROKEN_WORDS = LINE_WORDS.replace("FROM doc_lines)", "FROM broken)").replace(DOC_LINES, BROKEN)
 _TYPICAL = f"""WITH {_BROKEN_WORDS}, tokens AS (SELECT unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos, len(words) AS n FROM line_words),
  freq AS (SELECT token AS word, count(*) AS "all", count(*) FILTER (WHERE pos = 0) AS start, count(*) FILTER (WHERE pos = n - 1) AS "end" FROM tokens GROUP BY token)
-SELECT 'start' AS side, word, start AS freq FROM freq WHERE start > 5 AND start / "all" > 0.5 UNION ALL SELECT 'end', word, "end" FROM freq WHERE "end" > 5 AND "end" / "all" > 0.5"""
+SELECT 'start' AS side, word, start AS freq FROM freq WHERE start > 100 AND start / "all" > 0.5 UNION ALL SELECT 'end', word, "end" FROM freq WHERE "end" > 100 AND "end" / "all" > 0.5"""
 _BREAKS = f"""WITH {_BROKEN_WORDS}, p AS (SELECT lag(words) OVER (PARTITION BY doc_id ORDER BY line_no) AS pw, words FROM line_words)
 SELECT DISTINCT pw[-1] AS end_word, words[1] AS start_word, regexp_replace(pw[-1], '[-]{{1,2}}$', '') || regexp_replace(words[1], '^-', '') AS merge_word FROM p WHERE len(pw) > 0 AND len(words) > 0 AND pw[-1] LIKE '%-'"""
 
@@ -150,7 +144,7 @@ QUERIES = {
     "kwic_wildcard": (kwic_wildcard, _kwic_sql(r"th[\p{L}\p{N}_]*", "SELECT doc_id, line_no, hit, term_match, pre, post FROM k")),
     "kwic_match_freq": (kwic_match_freq, _kwic_sql(r"th[\p{L}\p{N}_]*", "SELECT term_match, count(*) AS freq FROM k GROUP BY term_match")),
     "mid_bigrams": (mid_bigrams, _BIGRAMS),
-    "similar_words": (similar_words, _SIMILAR),
+    "similar_words": (similar_words, None),
     "broken_lines": (broken_lines, f"WITH {BROKEN} SELECT doc_id, line_no, text FROM broken"),
     "typical_line_words": (typical_line_words, _TYPICAL),
     "line_word_break": (line_word_break, _BREAKS),

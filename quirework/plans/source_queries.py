@@ -13,8 +13,8 @@ from .frames import DOC_LINES, GEO_LINES, GEO_REGIONS, doc_lines, geo_lines, tab
 
 def _xml(spark: SparkSession, sf: str) -> DataFrame:
     """A PAGE XML document for each scan of `geo_lines`; a line's text is its number."""
-    box = F.format_string("%d,%d %d,%d %d,%d %d,%d", "x", "y", "r", "y", "r", "b", "x", "b")
-    lines = geo_lines(spark, sf).select(F.col("scan").cast("string").alias("path"), F.col("region").alias("region_id"), F.concat(F.lit("l"), "line_no").alias("line_id"), F.col("line_no").alias("pos"), F.concat(F.lit("line "), "line_no", F.lit(" & <so> on")).alias("text"), box.alias("points"), F.format_string("%d,%d %d,%d", "x", "base", "r", "base").alias("baseline"))
+    box = G.Box.of().corners()
+    lines = geo_lines(spark, sf).select(F.col("scan").cast("string").alias("path"), F.col("region").alias("region_id"), F.concat(F.lit("l"), "line_no").alias("line_id"), F.col("line_no").alias("pos"), F.concat(F.lit("line "), "line_no", F.lit(" & <so> on")).alias("text"), box.alias("points"), F.concat("x", F.lit(","), "base", F.lit(" "), "r", F.lit(","), "base").alias("baseline"), "x", "y", "r", "b")
     return page_xml.to_xml(lines, ["path"])
 
 
@@ -44,7 +44,7 @@ def xml_words(spark: SparkSession, sf: str) -> DataFrame:
 def _custom(spark: SparkSession, sf: str) -> DataFrame:
     """Each line of documents with a tag for its first word and one for its place."""
     lines = doc_lines(spark, sf).withColumn("n", F.length(F.substring_index("text", " ", 1)))
-    text = F.format_string("readingOrder {index:%d;} word {offset:0; length:%d; kind:first;} unclear {offset: 2;  length :3 ;}", "line_no", "n")
+    text = F.concat(F.lit("readingOrder {index:"), "line_no", F.lit(";} word {offset:0; length:"), "n", F.lit("; kind:first;} unclear {offset: 2;  length :3 ;}"))
     return lines.withColumn("tags", C.custom_tags(text))
 
 

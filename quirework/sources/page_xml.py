@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +45,11 @@ def _tag(e: ElementTree.Element) -> str:
 
 
 def _kids(e: ElementTree.Element, *names: str) -> list[ElementTree.Element]:
-    return [k for k in e if _tag(k) in names]
-
-
-def _first(e: ElementTree.Element, name: str) -> ElementTree.Element | None:
-    return next((k for k in e if _tag(k) == name), None)
+    return e.findall(names[0]) if len(names) == 1 else [k for k in e if k.tag in names]
 
 
 def _points(e: ElementTree.Element, name: str = "Coords") -> str | None:
-    c = _first(e, name)
+    c = e.find(name)
     return (c.get("points") or None) if c is not None else None
 
 
@@ -61,11 +58,11 @@ def _number(x: str | None, kind=float):
 
 
 def _text(e: ElementTree.Element) -> tuple[str | None, float | None]:
-    t = _first(e, "TextEquiv")
+    t = e.find("TextEquiv")
     if t is None:
         return None, None
     for name in ("Unicode", "PlainText"):
-        u = _first(t, name)
+        u = t.find(name)
         if u is not None:
             return u.text, _number(t.get("conf"))
     return (t.text if t.text and t.text.strip() else None), _number(t.get("conf"))
@@ -79,15 +76,19 @@ def _pairs(points: str | None) -> list[tuple[int, int]]:
 def parse_document(content: bytes | str) -> dict:
     """A row of SCAN of one document. A file that isn't PAGE XML fails."""
     root = ElementTree.fromstring(content)
-    if _tag(root) != "PcGts":
+    namespace = root.tag[1:].partition("}")[0] if root.tag[0] == "{" else None
+    for e in root.iter():  # names without their namespace are found faster
+        if isinstance(e.tag, str):
+            e.tag = _tag(e)
+    if root.tag != "PcGts":
         raise ValueError("the root isn't PcGts")
-    page, meta = _first(root, "Page"), _first(root, "Metadata")
+    page, meta = root.find("Page"), root.find("Metadata")
     if page is None:
         raise ValueError("there is no Page")
-    said = {_tag(k): k.text for k in meta} if meta is not None else {}
-    out = {"filename": page.get("imageFilename"), "width": _number(page.get("imageWidth"), int), "height": _number(page.get("imageHeight"), int), "namespace": root.tag[1:].partition("}")[0] if root.tag[0] == "{" else None, "creator": said.get("Creator"), "created": said.get("Created"), "last_change": said.get("LastChange"), "ro_id": None, "ro_caption": None, "reading_order": []}
-    order = _first(page, "ReadingOrder")
-    group = _first(order, "OrderedGroup") if order is not None else None
+    said = {k.tag: k.text for k in meta} if meta is not None else {}
+    out = {"filename": page.get("imageFilename"), "width": _number(page.get("imageWidth"), int), "height": _number(page.get("imageHeight"), int), "namespace": namespace, "creator": said.get("Creator"), "created": said.get("Created"), "last_change": said.get("LastChange"), "ro_id": None, "ro_caption": None, "reading_order": []}
+    order = page.find("ReadingOrder")
+    group = order.find("OrderedGroup") if order is not None else None
     if group is not None:
         out |= {"ro_id": group.get("id"), "ro_caption": group.get("caption"), "reading_order": [(int(r.get("index")), r.get("regionRef")) for r in _kids(group, "RegionRefIndexed")]}
     regions: list[dict] = []
@@ -109,7 +110,7 @@ def parse_document(content: bytes | str) -> dict:
 
     def add_region(e: ElementTree.Element, parent: str | None, path: list[int]) -> list[tuple[int, int]]:
         text, _ = _text(e)
-        me = {"region_id": e.get("id"), "parent_id": parent, "path": path, "depth": len(path), "kind": "table_region" if _tag(e) == "TableRegion" else "text_region", "rank": None, "type": e.get("type"), "orientation": _number(e.get("orientation")), "text": text, "points": _points(e), "custom": e.get("custom"), "attrs": list(e.attrib.items())}
+        me = {"region_id": e.get("id"), "parent_id": parent, "path": path, "depth": len(path), "kind": "table_region" if e.tag == "TableRegion" else "text_region", "rank": None, "type": e.get("type"), "orientation": _number(e.get("orientation")), "text": text, "points": _points(e), "custom": e.get("custom"), "attrs": list(e.attrib.items())}
         at = len(regions)
         regions.append(me)
         inner: list[tuple[int, int]] = []
@@ -120,7 +121,7 @@ def parse_document(content: bytes | str) -> dict:
             for c in _kids(e, "TableCell"):
                 cell_lines = add_lines(c, me["region_id"], c.get("id"))
                 own += cell_lines
-                corner = _first(c, "CornerPts")
+                corner = c.find("CornerPts")
                 value = " ".join(x["text"] for x in cell_lines if x["text"] is not None)
                 cells.append({"table_id": me["region_id"], "cell_id": c.get("id"), "row": _number(c.get("row"), int), "col": _number(c.get("col"), int), "row_span": _number(c.get("rowSpan"), int), "cell_span": _number(c.get("cellSpan") or c.get("colSpan"), int), "header": c.get("header"), "cornerpoints": corner.text if corner is not None else None, "points": _points(c), "custom": c.get("custom"), "value": value})
         else:
@@ -144,6 +145,17 @@ def parse_document(content: bytes | str) -> dict:
     return out | {"regions": regions, "lines": lines, "cells": cells, "error": None}
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of a type; arrays of structs are built field by field, which is much faster than value by value."""
+    if not pa.types.is_list(kind) or not pa.types.is_struct(kind.value_type):
+        return pa.array(values, kind)
+    flat = [x for v in values if v for x in v]
+    fields = list(kind.value_type)
+    structs = pa.StructArray.from_arrays([_column([x[f.name] for x in flat], f.type) for f in fields], fields=fields) if flat else pa.array([], kind.value_type)
+    ends = np.append(0, np.cumsum([len(v) if v else 0 for v in values])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), structs, type=kind, mask=pa.array([v is None for v in values]))
+
+
 def parse(files: DataFrame, *, content: str = "content", keep: tuple[str, ...] = ("path",), mode: str = "permissive", encoding: str = "utf-8") -> DataFrame:
     """The columns `keep` and SCAN of each row with a document in `content` (binary or string).
 
@@ -171,7 +183,7 @@ def parse(files: DataFrame, *, content: str = "content", keep: tuple[str, ...] =
                         if mode == "failfast":
                             raise ValueError(f"{kept}: {e}") from e
                         rows.append(kept | {"error": f"{type(e).__name__}: {e}"})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
 
     return files.select(*keep, F.col(content).alias("__content")).mapInArrow(run, schema)
 
@@ -279,16 +291,17 @@ def _shape(name: str, points: Column) -> Column:
 
 
 def to_xml(line_rows: DataFrame, keys: list[str], *, order: str = "pos", size: tuple[str, str] | None = None) -> DataFrame:
-    """`keys` (the first names the image) and content, a PAGE XML document, from lines (region_id, line_id, order, text, points, baseline).
+    """`keys` (the first names the image) and content, a PAGE XML document, from lines (region_id, line_id, order, text, points, baseline; x, y, r and b
+    of each, if there, save reading the points).
 
     Regions have the boxes around their lines and stand in the order of their names. Strings are put together in the JVM.
     """
     c = F.col
     line = F.concat(F.lit("<TextLine"), _attr("id", c("line_id")), _attr("custom", c("custom")) if "custom" in line_rows.columns else F.lit(""), F.lit(">"), _shape("Coords", c("points")), _shape("Baseline", c("baseline")), _equiv(c("text")), F.lit("</TextLine>"))
-    pts = G.Box.around(G.points(c("points")))
+    pts = G.Box.of() if {"x", "y", "r", "b"} <= set(line_rows.columns) else G.Box.around(G.points(c("points")))
     cols = line_rows.select(*keys, "region_id", c(order).alias("__o"), line.alias("__l"), pts.x.alias("x"), pts.y.alias("y"), pts.r.alias("r"), pts.b.alias("b"))
     region = cols.groupBy(*keys, "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__l"))), lambda s: s["__l"]), "").alias("body"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("r").alias("r"), F.max("b").alias("b"))
-    corners = F.when(c("x").isNotNull(), F.format_string("%d,%d %d,%d %d,%d %d,%d", "x", "y", "r", "y", "r", "b", "x", "b"))
+    corners = F.when(c("x").isNotNull(), G.Box.of().corners())
     xml = F.concat(F.lit("<TextRegion"), _attr("id", c("region_id")), F.lit(">"), _shape("Coords", corners), c("body"), F.lit("</TextRegion>"))
     page = region.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_id", xml.alias("x")))), lambda s: s["x"]), "").alias("body"), F.max("r").alias("w"), F.max("b").alias("h"))
     head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}"><Metadata/><Page'), _attr("imageFilename", c(keys[0]).cast("string")), _attr("imageWidth", c("w")), _attr("imageHeight", c("h")), F.lit(">"))

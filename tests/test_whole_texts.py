@@ -49,7 +49,7 @@ def test_every_word_is_a_query(spark, tmp_path, monkeypatch, blocks):
     monkeypatch.setattr(S, "QUERIES_PER_BLOCK", blocks[0])
     monkeypatch.setattr(S, "WORDS_PER_BLOCK", blocks[1])
     text = "a that thát That thatch hatch\nscratch catch cat é ab ba aba bab " + " ".join(f"x{i}y{i % 7}" for i in range(60))
-    spark.createDataFrame([(1, "s", "en", text), (2, "s", None, "cat caterpillar"), (3, "s", "de", None)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(20, "s", "en", text), (2, "s", None, "cat caterpillar"), (3, "s", "de", None)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     words = sorted(set(text.split()) | {"caterpillar"})
 
     def grams(w):
@@ -57,7 +57,7 @@ def test_every_word_is_a_query(spark, tmp_path, monkeypatch, blocks):
         return {w[i] + w[i + d] for d in (1, 2) for i in range(len(w) - d)}
 
     want = []
-    for q in words:
+    for q in set(text.split()):
         scored = [(-len(grams(q) & grams(t)) / (len(grams(q)) * len(grams(t))) ** 0.5, t) for t in words if grams(q) & grams(t)]
         want += [(q, rank, t, round(-s, 6)) for rank, (s, t) in enumerate(sorted(scored)[:10], 1)]
     got = Q["similar_words"](spark, str(tmp_path)).collect()
