@@ -9,7 +9,8 @@ one space, bytes above 127 count as letters of their own, so that any script has
 
 Defined results: a null or empty text, or one without letters, has no language (null), cosine 0 and is rejected; texts
 are used whole, however long; equal cosines go to the first language by name; repeated rows get the same result each;
-without any labelled training row every document is rejected; other columns of the input are passed over.
+without any labelled training row every document is rejected; an empty table gives an empty result; other columns of
+the input, by any name, are passed over by `identify` and kept by `keep_accepted`.
 """
 
 from __future__ import annotations
@@ -37,13 +38,12 @@ _SPACE = 0
 
 @dataclass(frozen=True)
 class Settings:
-    """`dims`: length of the vectors; `n`: letters in an n-gram; `min_cosine`: below it a document is rejected if it has
-    `min_ngrams` n-grams or more (a word or two can't tell); `train_rows`: about as many labelled rows at most are used for the prototypes, an equal share for each language (chosen by a hash of the id)."""
+    """`dims`: length of the vectors; `n`: letters in an n-gram; `min_cosine`: below it a document is rejected, whatever
+    its length (three times the spread of the cosine of vectors that have nothing in common); `train_rows`: about as many labelled rows at most are used for the prototypes, an equal share for each language (chosen by a hash of the id)."""
 
     dims: int = 1024
     n: int = 3
     min_cosine: float = 0.1
-    min_ngrams: int = 20
     train_rows: int = 20_000
     seed: int = 20
 
@@ -181,7 +181,7 @@ def classify(texts: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarra
     n = len(texts)
     if profiles.prototypes is None:
         return np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, bool)
-    v, ngrams = text_vectors(*string_buffers(texts), profiles.settings)
+    v, _ = text_vectors(*string_buffers(texts), profiles.settings)
     v = v.astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", v, v))
     cosines = v @ profiles.prototypes.T / np.where(length == 0, 1, length)[:, None]
@@ -191,7 +191,7 @@ def classify(texts: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarra
     margin = top - (others[:, -2] if others.shape[1] > 1 else 0)
     empty = length == 0
     best = np.where(empty, -1, best)
-    return best, np.where(empty, 0, top), np.where(empty, 0, margin), ~empty & ((top >= profiles.settings.min_cosine) | (ngrams < profiles.settings.min_ngrams))
+    return best, np.where(empty, 0, top), np.where(empty, 0, margin), ~empty & (top >= profiles.settings.min_cosine)
 
 
 def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
