@@ -2,56 +2,72 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: bytes of text that the numpy kernels take at a time
 SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`.
-
-    Where it is unset, a temporary folder is used in local mode; elsewhere that is an error.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    d = "file://" + tempfile.mkdtemp(prefix="quirework-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+#: words of 64 bits that a broadcast bitmap of keys has at most
+BITMAP_WORDS = 1 << 20
+_recorded: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = shared.scratch(spark, name)
+    for paths in _recorded:
+        paths.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM has gone already
-        pass
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Append the scratch paths made meanwhile to `paths`, for `release`."""
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    while paths:
+        shared.remove(spark, paths.pop())
+
+
+def bitmap_words(keys: int) -> int:
+    """Words for a bitmap with eight bits or more a key, a power of 2, BITMAP_WORDS at most."""
+    words = 1 << 10
+    while words * 8 < keys and words < BITMAP_WORDS:
+        words *= 2
+    return words
+
+
+def likely(df: DataFrame, keys: DataFrame, hashes: tuple[Column, Column], words: int) -> DataFrame:
+    """`df` with __qw_likely: true for every row whose `hashes` (two 64-bit numbers) are among the columns k and k2 of
+    `keys`, and for few others; from a bitmap of `words` * 64 bits, which is broadcast, so that other rows needn't be
+    shuffled. With far more keys than bits all are likely, and only speed is lost."""
+    slot = lambda k, k2: (F.pmod(k, F.lit(words)), F.pmod(k2, F.lit(64)).cast("int"))
+    w, bit = slot(F.col("k"), F.col("k2"))
+    bits = keys.groupBy(w.alias("__qw_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__qw_bits"))
+    w, bit = slot(*hashes)
+    found = df.withColumn("__qw_s", w).join(F.broadcast(bits), F.col("__qw_s") == F.col("__qw_w"), "left")
+    return found.withColumn("__qw_likely", F.coalesce(F.getbit("__qw_bits", bit) == 1, F.lit(False))).drop("__qw_s", "__qw_w", "__qw_bits")
 
 
 def partitions_for(rows: int, per_partition: int) -> int:

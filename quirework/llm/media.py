@@ -1,20 +1,22 @@
 """Media columns: a data source over ZIP archives that reads members by byte ranges.
 
-Planning reads the archives' central directories only. Members lie one after another, so a partition is a byte range of
-one archive: members are taken until the range has `rangeBytes`; a member isn't divided. A task streams its range:
-payloads leave as Arrow batches of `batchBytes` at most (or one member), so a task's memory doesn't grow with its range.
-Each member is read on its own by its offset and checked against its CRC; if that fails it alone is read again, up to
-`retries` times, from a newly opened file. With `mode` permissive a member that fails for good yields a row with null
-payload and its error, else the task fails.
+Planning looks at the archives' sizes only: a partition is a byte range of one archive. Its task reads the archive's
+central directory and takes the members that begin in the range; a member isn't divided. It streams them: payloads leave
+as Arrow batches of `batchBytes` at most (or one member), so a task's memory doesn't grow with its range. Each member is
+read on its own by its offset and checked against its CRC; if that fails, or the file can't be opened, it alone is read
+again, up to `retries` times, from a newly opened file. With `mode` permissive a member that fails for good yields a row
+with null payload and its error, else the task fails.
 
 Defined results: an empty member has an empty payload; folders are no members; an archive without members, or a folder
-without archives, gives no row; members of one name are a row each; names are as they stand in the archive.
+without archives, gives no row; members of one name are a row each, in each archive; names are as they stand in the
+archive; a payload is held whole (2 GB at most, as in any binary column). In writing, rows without a name or a payload
+are left out, rows that repeat are members each, and other columns, by any name, are passed over; writing to a folder
+that has archives adds to them.
 """
 
 from __future__ import annotations
 
 import io
-import os
 import struct
 import uuid
 import zipfile
@@ -23,13 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ._common import partitions_for, scratch
-from .warc import _local
+from ._files import base_name, create, listed, move, open_input, resolve
 
 SCHEMA = "archive string, member string, offset long, compressed_bytes long, n_bytes long, media_type string, payload binary, error string"
 RANGE_BYTES = 16 << 20
@@ -51,28 +54,20 @@ class Member:
 
 @dataclass
 class Range(InputPartition):
+    """The members of an archive that begin at `start` or after it and before `stop`."""
+
     path: str
-    members: list[Member]
+    start: int
+    stop: int
 
 
-def directory(path: str) -> list[Member]:
+def directory(f: io.BufferedIOBase) -> list[Member]:
     """The members of a ZIP archive by offset, from its central directory."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(f) as z:
         found = [Member(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in z.infolist() if not i.is_dir()]
     return sorted(found, key=lambda m: m.offset)
 
 
-def ranges(path: str, members: list[Member], range_bytes: int) -> Iterator[Range]:
-    part: list[Member] = []
-    for m in members:
-        if part and m.offset + m.compressed - part[0].offset > range_bytes:
-            yield Range(path, part)
-            part = []
-        part.append(m)
-    if part:
-        yield Range(path, part)
-
-
 def read_member(f: io.BufferedIOBase, m: Member) -> bytes:
     """A member's payload, read by its offset and checked."""
     f.seek(m.offset)
@@ -96,7 +91,7 @@ def read_member(f: io.BufferedIOBase, m: Member) -> bytes:
 
 
 class MediaSource(DataSource):
-    """format("media_zip"): options path (folder of .zip files in a shared, mounted folder), rangeBytes, batchBytes,
+    """format("media_zip"): options path (a folder of .zip files, a path or URI), rangeBytes, batchBytes,
     retries, mode (failfast or permissive)."""
 
     @classmethod
@@ -112,49 +107,55 @@ class MediaSource(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(f for f in os.listdir(self.path) if f.endswith(".zip")) if os.path.isdir(self.path) else []
-        out: list[InputPartition] = []
-        for name in found:
-            path = os.path.join(self.path, name)
-            out += ranges(path, directory(path), self.range_bytes)
-        return out or [Range("", [])]
+        step = self.range_bytes
+        return [Range(path, a, a + step) for path, size in listed(self.path, ".zip") for a in range(0, size, step)] or [Range("", 0, 0)]
 
     def open(self, path: str):
-        return open(path, "rb")
+        return open_input(path)
+
+    def again(self, path: str, act):
+        """(act(file), null, file), or (null, the error, null) if that fails `retries` times more; each time the file is opened anew."""
+        error = None
+        for _ in range(self.retries + 1):
+            try:
+                f = self.open(path)
+                return act(f), None, f
+            except (OSError, zlib.error, zipfile.BadZipFile) as e:
+                error = f"{type(e).__name__}: {e}"
+        return None, error, None
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.members:
+        if not partition.path:
             return
+        found, error, f = self.again(partition.path, directory)
+        if error:
+            raise OSError(f"{partition.path}, after {self.retries} retries: {error}")
         rows: list[tuple] = []
         held = 0
-        f = self.open(partition.path)
-        try:
-            for m in partition.members:
-                data = error = None
-                for attempt in range(self.retries + 1):
-                    try:
-                        data, error = read_member(f, m), None
-                        break
-                    except (OSError, zlib.error) as e:
-                        error = f"{type(e).__name__}: {e}"
-                        f.close()
-                        f = self.open(partition.path)
-                if error and not self.permissive:
-                    raise OSError(f"{partition.path}, {m.name}, after {self.retries} retries: {error}")
-                rows.append((m, data, error))
-                held += m.size
-                if held >= self.batch_bytes or len(rows) >= 10_000:
-                    yield _batch(partition.path, rows)
-                    rows, held = [], 0
-        finally:
-            f.close()
+        for m in found:
+            if not partition.start <= m.offset < partition.stop:
+                continue
+            data = error = None
+            try:
+                data = read_member(f, m) if f else None
+            except (OSError, zlib.error):
+                f = None
+            if f is None:
+                data, error, f = self.again(partition.path, lambda g: read_member(g, m))
+            if error and not self.permissive:
+                raise OSError(f"{partition.path}, {m.name}, after {self.retries} retries: {error}")
+            rows.append((m, data, error))
+            held += m.size
+            if held >= self.batch_bytes or len(rows) >= 10_000:
+                yield _batch(partition.path, rows)
+                rows, held = [], 0
         if rows:
             yield _batch(partition.path, rows)
 
@@ -163,7 +164,7 @@ def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
     m = [r[0] for r in rows]
     kinds = [_TYPES.get(x.name.rpartition(".")[2].lower(), "application/octet-stream") for x in m]
     cols = [
-        pa.array([os.path.basename(path)] * len(m)),
+        pa.array([base_name(path)] * len(m)),
         pa.array([x.name for x in m]),
         pa.array([x.offset for x in m], pa.int64()),
         pa.array([x.compressed for x in m], pa.int64()),
@@ -183,34 +184,36 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
 def write_archives(df: DataFrame, path: str, *, name_col: str, payload_col: str, archives: int) -> None:
     """ZIP archives with one member for each row that has a name and a payload; files appear whole, or not at all.
 
-    Payloads aren't shuffled: a partition of `df` makes an archive, at most `archives` of them.
+    Payloads aren't shuffled: a partition of `df` makes an archive, at most `archives` of them. Names carry the write's
+    id, so that another write to the folder touches none of these.
     """
-    folder = _local(path)
+    folder, write_id = path.rstrip("/"), uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        part = TaskContext.get().partitionId()
-        temporary = os.path.join(folder, f"_part-{part:06d}-{uuid.uuid4().hex}")
-        n = 0
-        with zipfile.ZipFile(temporary, "w", zipfile.ZIP_DEFLATED) as z:
-            for b in batches:
-                for name, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                    z.writestr(zipfile.ZipInfo(name), payload.as_buffer().to_pybytes(), zipfile.ZIP_DEFLATED)
-                    n += 1
-        if n:  # a task that runs again replaces the file by an equal one
-            os.replace(temporary, os.path.join(folder, f"part-{part:06d}.zip"))
-        else:
-            os.remove(temporary)
+        name = f"part-{TaskContext.get().partitionId():06d}-{write_id}"
+        temporary = f"{folder}/_{name}-{uuid.uuid4().hex}"
+        n, out, z = 0, None, None
+        for b in batches:
+            for member, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                if z is None:
+                    out = create(temporary)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(member), payload.as_buffer().to_pybytes(), zipfile.ZIP_DEFLATED)
+                n += 1
+        if z is not None:  # a task that runs again replaces the file by an equal one
+            z.close()
+            out.close()
+            move(temporary, f"{folder}/{name}.zip")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = df.where(F.col(name_col).isNotNull() & F.col(payload_col).isNotNull()).select(F.col(name_col).cast("string").alias("name"), F.col(payload_col).cast("binary").alias("payload"))
     rows.coalesce(archives).mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    if os.path.isdir(folder):
-        for f in os.listdir(folder):
-            if f.startswith("_part-"):
-                os.remove(os.path.join(folder, f))
+    fs, root = resolve(folder)
+    for f in fs.get_file_info(FileSelector(root, allow_not_found=True)):  # of tasks that failed
+        if f.base_name.startswith("_part-") and f"-{write_id}-" in f.base_name:
+            fs.delete_file(f.path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

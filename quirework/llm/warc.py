@@ -8,7 +8,9 @@ for each partition of the shuffle.
 
 Defined results: a record without a digest gets the digest of its payload, and one without a payload, too, is unresolved
 unless it is a response, which then is an original with an empty payload of its own; equal records are each kept, all
-but one as revisits; an empty table gives no archive; columns other than those named are passed over.
+but one as revisits; a payload may be long, a record is held whole (2 GB at most, as in any binary column); an empty
+table gives no archive; columns other than those named, by any name, are passed over. Writing to a folder that has
+archives adds to them.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ._common import materialise, scratch
+from ._common import bitmap_words, likely, materialise, scratch
+from ._files import base_name, create, listed, move, open_input, remove, resolve
 
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, refers_to_date string, payload binary"
 READ_SCHEMA = SCHEMA + ", archive string, offset long, length long"
@@ -70,18 +74,8 @@ class _Archive(InputPartition):
     path: str
 
 
-def _local(path: str) -> str:
-    """The shared folder as the executors see it: mounted, under a file: URI or plain path."""
-    for prefix in ("file://", "file:"):
-        if path.startswith(prefix):
-            return path[len(prefix) :]
-    if "://" in path:
-        raise ValueError(f"archives are read and written through a mounted folder, not {path}")
-    return path
-
-
 class WarcSource(DataSource):
-    """format("warc"): option path is a folder of .warc.gz files in a shared, mounted folder; headersOnly leaves payloads out."""
+    """format("warc"): option path is a folder of .warc.gz files, a path or URI; headersOnly leaves payloads out."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,18 +93,13 @@ class WarcSource(DataSource):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"]
         self.headers_only = options.get("headersonly", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        found = sorted(f for f in os.listdir(self.path) if f.endswith(".warc.gz")) if os.path.isdir(self.path) else []
-        return [_Archive(os.path.join(self.path, f)) for f in found] or [_Archive("")]
+        return [_Archive(path) for path, _ in listed(self.path, ".warc.gz")] or [_Archive("")]
 
     def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
-        import os
-
         if not partition.path:
             return
         names = [*_NAMES, "payload", "archive", "offset", "length"]
@@ -122,7 +111,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names)
 
         for offset, length, data in gzip_members(partition.path):
-            r = parse_record(data) | {"archive": os.path.basename(partition.path), "offset": offset, "length": length}
+            r = parse_record(data) | {"archive": base_name(partition.path), "offset": offset, "length": length}
             if self.headers_only:
                 r["payload"] = None
             held += len(r["payload"] or b"")
@@ -136,7 +125,7 @@ class WarcReader(DataSourceReader):
 
 def gzip_members(path: str) -> Iterator[tuple[int, int, bytes]]:
     """(offset, compressed length, content) of each member of a gzip file."""
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         at, rest = 0, b""
         while True:
             d = zlib.decompressobj(31)
@@ -164,46 +153,45 @@ class _Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceWriter):
     """Each task writes a file of its own name; the files get their names when the job commits, so that tasks that run
-    again, or twice, leave nothing behind."""
+    again, or twice, leave nothing behind. Names carry the write's id: another write, also at the same time, to the same
+    folder adds files and touches none of these."""
 
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"].rstrip("/")
+        self.id = uuid.uuid4().hex
 
     def write(self, rows: Iterator[Row]) -> _Written:
-        import os
-
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        part = TaskContext.get().partitionId()
-        temporary = os.path.join(self.path, f"_part-{part:06d}-{uuid.uuid4().hex}")
-        any_row = False
-        with open(temporary, "wb") as f:
-            for row in rows:
-                any_row = True
-                f.write(gzip.compress(record_bytes(row), 6, mtime=0))
-        if not any_row:
-            os.remove(temporary)
+        name = f"part-{TaskContext.get().partitionId():06d}-{self.id}"
+        temporary = f"{self.path}/_{name}-{uuid.uuid4().hex}"
+        f = None
+        for row in rows:
+            f = f or create(temporary)
+            f.write(gzip.compress(record_bytes(row), 6, mtime=0))
+        if f is None:
             return _Written("", "")
-        return _Written(temporary, os.path.join(self.path, f"part-{part:06d}.warc.gz"))
+        f.close()
+        return _Written(temporary, f"{self.path}/{name}.warc.gz")
 
     def commit(self, messages: list) -> None:
-        import os
-
         for m in messages:
             if m and m.temporary:
-                os.replace(m.temporary, m.final)
-        if os.path.isdir(self.path):
-            for f in os.listdir(self.path):
-                if f.startswith("_part-"):
-                    os.remove(os.path.join(self.path, f))
+                move(m.temporary, m.final)
+        self._clear()
 
     def abort(self, messages: list) -> None:
-        import os
-
         for m in messages:
-            if m and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and m.temporary:
+                remove(m.temporary)
+        self._clear()
+
+    def _clear(self) -> None:
+        """What tasks of this write left that failed or ran twice."""
+        fs, root = resolve(self.path)
+        for f in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith("_part-") and f"-{self.id}-" in f.base_name:
+                fs.delete_file(f.path)
 
 
 def resolve_headers(records: DataFrame) -> DataFrame:
@@ -244,10 +232,15 @@ def write_resolved(records: DataFrame, path: str) -> DataFrame:
     payloads = records.where(F.col("payload").isNotNull() & F.coalesce(F.col("warc_type") != "revisit", F.lit(True)))
     key = lambda: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in ("record_id", "warc_date", "payload_digest")])
     payloads = payloads.withColumn("payload_digest", F.coalesce("payload_digest", F.concat(F.lit("sha1:"), F.sha1("payload")))).select(key().alias("p_key"), "payload")
-    # payloads are shuffled once: the join, the choice among equal records and the archives share a partitioning; the
+    # payloads that no original has are left where they are, as far as a bitmap of bounded size can tell
+    original = (F.col("resolution") == "original") & F.col("payload_digest").isNotNull()
+    hashes = lambda k: (F.xxhash64(k), F.xxhash64(F.lit(1), k))
+    k, k2 = hashes(key())
+    wanted = materialise(heads.where(original).select(k.alias("k"), k2.alias("k2")).distinct(), "originals")
+    payloads = likely(payloads, wanted, hashes(F.col("p_key")), bitmap_words(wanted.count())).where("__qw_likely").drop("__qw_likely")
+    # the others are shuffled once: the join, the choice among equal records and the archives share a partitioning; the
     # keys of records without a payload meet none. A digest has one original, so only its key's rows are chosen among:
     # responses without a digest are each kept
-    original = (F.col("resolution") == "original") & F.col("payload_digest").isNotNull()
     keyed = heads.withColumn("p_key", F.when(original, key()).otherwise(F.concat(F.lit("/"), key())))
     turn = F.row_number().over(Window.partitionBy("p_key").orderBy(F.xxhash64("payload")))
     full = keyed.join(payloads, "p_key", "left").withColumn("__n", turn).where(~original | (F.col("__n") == 1))
