@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_slices
+from ._common import likely, materialise, text_slices
 from ._hashing import VERBATIM, mix, string_buffers, word_hashes, word_spans
 
 MIN_WORDS = 25
 #: lines that name a suffix before the first round
 FIRST = 4
+#: words of 64 bits of the bitmap of texts concerned
+BITMAP = 1 << 17
 _KEY = ["k", "k2"]
 _PLACE = [*_KEY, "at"]
 _END = -(1 << 63)
@@ -149,9 +151,11 @@ def suffix_array(sfx: DataFrame) -> DataFrame:
         again = F.coalesce(F.col("__p") == three, F.lit(False)) | F.coalesce(F.col("__n") == three, F.lit(False))
         name = F.concat(F.slice("name", 1, FIRST), F.array(F.element_at("name", -1) + F.col("rank")))
         ranked = ranked.select("id", *_PLACE, "left", name.alias("name"), "g", "m", "c", ((F.col("left") >= 4 * step) & again).alias("open"))
-        now = materialise(ranked.unionByName(now.where("not open")), "ranked")
+        closed = now.where("not open").select(ranked.columns)  # these aren't written again
+        done = closed if done is None else done.unionByName(closed)
+        now = materialise(ranked, "ranked")
         step *= 4
-    return now
+    return now if done is None else done.unionByName(now.select(done.columns))
 
 
 def neighbours(array: DataFrame, texts: DataFrame) -> DataFrame:
@@ -330,10 +334,11 @@ def shared_anchors(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
 
     some = docs.where(F.col(text_col).isNotNull()).select(k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
     named = some.mapInArrow(run, "k long, k2 long, a long, twice boolean")
-    w = Window.partitionBy("a")
-    # copies of a text have one key, so they don't make its runs shared
-    shared = named.withColumn("s", F.max("twice").over(w) | (F.min("k").over(w) < F.max("k").over(w))).where("s")
-    return shared.groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
+    # counted before the shuffle, so that a run in a third of all texts is a few rows a task; copies of a text have one
+    # key, so they don't make its runs shared
+    named = materialise(named, "named")
+    some = named.groupBy("a").agg(F.bool_or("twice").alias("t"), F.min("k").alias("least"), F.max("k").alias("most")).where("t or least < most").select("a")
+    return named.join(some, "a").groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
 
 
 def placed_windows(texts: DataFrame, min_words: int) -> DataFrame:
@@ -355,27 +360,18 @@ def _is_later(id_: Column, first: Column) -> Column:
     return F.coalesce(first.isNotNull() & (id_.isNull() | (id_ > first)), F.lit(False))
 
 
-def _likely(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
-    """`docs` with __qw_likely: true for every text whose k and k2 are in `keys`, and for few others; from a bitmap of
-    2**23 bits at most, so that other texts needn't be shuffled."""
-    slot = lambda k, k2: (F.pmod(k, F.lit(1 << 17)), F.pmod(k2, F.lit(64)).cast("int"))
-    w, bit = slot(F.col("k"), F.col("k2"))
-    bits = keys.groupBy(w.alias("__qw_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__qw_bits"))
-    w, bit = slot(*_keys(text_col))
-    found = docs.withColumn("__qw_s", w).join(F.broadcast(bits), F.col("__qw_s") == F.col("__qw_w"), "left")
-    return found.withColumn("__qw_likely", F.coalesce(F.getbit("__qw_bits", bit) == 1, F.lit(False))).drop("__qw_s", "__qw_w", "__qw_bits")
-
-
 def deleted_windows(docs: DataFrame, copied: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """k, k2 and ats (first words) of the windows of a text's first document that also stand earlier."""
     k, k2 = _keys(text_col)
     anchors = materialise(shared_anchors(docs, text_col, min_words).join(copied, _KEY, "left"), "anchors")
-    some = _likely(docs.where(F.col(text_col).isNotNull()), anchors, text_col).where("__qw_likely")
+    some = likely(docs.where(F.col(text_col).isNotNull()), anchors, _keys(text_col), BITMAP).where("__qw_likely")
     texts = some.select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
     own = texts.join(anchors.hint("shuffle_hash"), _KEY).where(~_is_later(F.col("id"), F.col("first")))
     place = F.struct(F.col("id").isNull().alias("n"), "id", *_PLACE)
-    found = placed_windows(own, min_words).withColumn("o", F.min(place).over(Window.partitionBy("g")))
-    return found.where(place != F.col("o")).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
+    found = materialise(placed_windows(own, min_words), "windows")
+    firsts = found.groupBy("g").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("g", "o")
+    # of the join's sides a window in very many texts is split by AQE, as it isn't sorted
+    return found.join(firsts, "g").where(place != F.col("o")).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
 
 
 def without_words(text: str, gone: np.ndarray, spans: tuple[np.ndarray, np.ndarray]) -> str | None:
@@ -432,7 +428,7 @@ def _without_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
 
     k, k2 = _keys(text_col)
     same = (F.col("__qw_a") == F.col("__qw_k")) & (F.col("__qw_b") == F.col("__qw_k2"))
-    all_docs = _likely(docs, found, text_col)
+    all_docs = likely(docs, found, _keys(text_col), BITMAP)
     # only texts that may lose words are shuffled, and not sorted: a hash table holds what they lose
     joined = all_docs.where("__qw_likely").drop("__qw_likely").withColumns({"__qw_a": k, "__qw_b": k2}).join(hits.hint("shuffle_hash"), same, "left")
     later = _is_later(F.col(id_col), F.col("__qw_first"))
