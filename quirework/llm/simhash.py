@@ -23,11 +23,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import materialise, partitions_for, text_slices, unit_hash
+from ._common import bitmap_words, likely, materialise, partitions_for, text_slices, unit_hash
 from ._hashing import mix, string_buffers, word_hashes
 
 BLOCKS, UNITS, UNIT_BITS = 7, 6, 3
@@ -237,13 +239,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def rooted(rows: DataFrame) -> DataFrame:
+    """`rows` (with fp) and root, the same for all whose fingerprints are connected by near ones."""
+    nodes = materialise(rows.select("fp").distinct(), "nodes")
+    roots = materialise(components(near_edges(nodes, nodes.count())), "roots")
+    return rows.join(roots, rows.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node", "fp")
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row in a group of two or more: id, unit, group_id (the id of the row that stays), group_size, kept."""
     rows = materialise(document_fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    worded = rows.where("fp is not null")
-    nodes = materialise(worded.select("fp").distinct(), "nodes")
-    roots = materialise(components(near_edges(nodes, nodes.count())), "roots")
-    grouped = worded.join(roots, worded.fp == roots.node, "left").select("id", "unit", F.coalesce("root", "fp").alias("root"))
+    grouped = rooted(rows.where("fp is not null"))
     size = grouped.groupBy("root").agg(F.count("*").alias("group_size")).where("group_size > 1")
     w = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "unit")
     return (
@@ -254,6 +260,46 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_rest(part: pd.Series, whole: pd.Series) -> pd.Series:
+    """Whether the words of a text follow one another, others between them, in another text."""
+    out = []
+    for p, w in zip(part, whole):
+        words = iter((w or "").split())
+        out.append(all(any(x == y for y in words) for x in (p or "").split()))
+    return pd.Series(out, dtype=bool)
+
+
+def drop_copies_before_edit(docs: DataFrame, before: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without all but one of each group of near copies that their texts in `before`,
+    a table from which `docs` come by leaving words out, make.
+
+    A document takes part whose id isn't null and stands once in each table, and whose text is what is left of that in
+    `before`; others stay. Of a group the smallest id stays.
+    """
+    id_ = F.col(id_col)
+    once = lambda df: df.where(id_.isNotNull()).groupBy(id_.alias("o")).agg(F.count("*").alias("n")).where("n = 1").select("o")
+    rows = document_fingerprints(before, id_col=id_col, text_col=text_col).where("fp is not null")
+    rows = rows.join(once(docs), rows.id == F.col("o"), "left_semi").join(once(before), rows.id == F.col("o"), "left_semi")
+    grouped = rooted(materialise(rows.select("id", "fp"), "fingerprints"))
+    size = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = materialise(grouped.join(size, "root").select("id", "root"), "members")
+    hashes = lambda k: (F.xxhash64(k), F.xxhash64(F.lit(1), k))
+
+    def among(df: DataFrame, ids: DataFrame) -> DataFrame:
+        k, k2 = hashes(F.col("id"))
+        return likely(df, ids.select(k.alias("k"), k2.alias("k2")), hashes(id_), bitmap_words(ids.count()))
+
+    texts = [among(df, members).where("__qw_likely").select(id_.alias("id"), F.col(text_col).alias(name)) for df, name in ((before, "whole"), (docs, "part"))]
+    sure = members.join(texts[0], "id").join(texts[1], "id").where(_is_rest("part", "whole")).select("id", "root")
+    sure = materialise(sure, "sure")
+    stays = sure.groupBy("root").agg(F.min("id").alias("first"))
+    gone = materialise(sure.join(stays, "root").where("id > first").select("id"), "gone")
+    marked = among(docs, gone)
+    some = marked.where("__qw_likely").drop("__qw_likely")
+    return marked.where("not __qw_likely").select(docs.columns).unionByName(some.join(gone.select(F.col("id").alias("__qw_gone")), id_ == F.col("__qw_gone"), "left_anti").select(docs.columns))
+
+
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without all but one of each group."""
     found = groups(docs, id_col=id_col, text_col=text_col)
