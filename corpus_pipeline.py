@@ -1,17 +1,20 @@
 """The corpus pipeline: documents pass the operators of `quirework.llm` one after another.
 
-Each stage handles nulls, empty and long texts, repeated rows, empty tables and extra columns as its operator's module
-says. All stages but the last return the columns of the documents they get.
+The documents have the columns doc_id, text, lang, source and, if given, n_chars, beside any others. Each stage handles
+nulls, empty and long texts, ties, repeated rows, empty tables and extra columns as its operator's module says. All
+stages but the last return the columns of the documents they get. A stage's result is written before the next stage
+begins, which then deletes the tables that the one before it used.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quirework.llm import bpe, language_id, line_dedup, mixing, simhash
-from quirework.llm._common import materialise
+from quirework.llm._common import materialise, recorded, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,7 +30,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies, and all others."""
+    """One document of each group of exact and near copies, and all others.
+
+    Of a later near copy line dedup has left the edited words alone, which are like nothing; so documents are compared by
+    their texts before that, too, where they are what is left of these.
+    """
+    before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if {"doc_id", "text"} <= set(before.columns):
+        docs = materialise(simhash.drop_copies_before_edit(docs, before), "compared")
     return simhash.drop_near_copies(docs)
 
 
@@ -44,12 +54,25 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, keep=("doc_id", "lang", "source"))
 
 
+_used: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _used)
+        with recorded(_used):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("source_mixing", mix_sources),
-    ("byte_bpe", encode_text),
+    ("language_id", _tidy(identify_language)),
+    ("line_dedup", _tidy(drop_repeated_lines)),
+    ("simhash_near_dedup", _tidy(drop_near_duplicates)),
+    ("source_mixing", _tidy(mix_sources)),
+    ("byte_bpe", _tidy(encode_text)),
 ]
 
 #: the stages' hashes, vectors and merges can't be put in SQL
