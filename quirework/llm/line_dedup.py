@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import likely, materialise, text_slices
+from ._common import bitmap_words, likely, materialise, text_slices
 from ._hashing import VERBATIM, mix, string_buffers, word_hashes, word_spans
 
 MIN_WORDS = 25
@@ -335,10 +335,13 @@ def shared_anchors(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
     some = docs.where(F.col(text_col).isNotNull()).select(k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
     named = some.mapInArrow(run, "k long, k2 long, a long, twice boolean")
     # counted before the shuffle, so that a run in a third of all texts is a few rows a task; copies of a text have one
-    # key, so they don't make its runs shared
-    named = materialise(named, "named")
-    some = named.groupBy("a").agg(F.bool_or("twice").alias("t"), F.min("k").alias("least"), F.max("k").alias("most")).where("t or least < most").select("a")
-    return named.join(some, "a").groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
+    # key, so they don't make its runs shared. The runs of the texts are made again, not stored
+    repeated = named.groupBy("a").agg(F.bool_or("twice").alias("t"), F.min("k").alias("least"), F.max("k").alias("most")).where("t or least < most")
+    repeated = materialise(repeated.select("a"), "repeated")
+    hashes = lambda c: (c, F.xxhash64(c))
+    k, k2 = hashes(F.col("a"))
+    found = likely(named, repeated.select(k.alias("k"), k2.alias("k2")), hashes(F.col("a")), bitmap_words(repeated.count())).where("__qw_likely")
+    return found.join(repeated, "a").groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
 
 
 def placed_windows(texts: DataFrame, min_words: int) -> DataFrame:
