@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bitmap_words, likely, materialise, text_slices
+from ._common import likely, materialise, text_slices
 from ._hashing import VERBATIM, mix, string_buffers, word_hashes, word_spans
 
 MIN_WORDS = 25
@@ -39,6 +40,8 @@ MIN_WORDS = 25
 FIRST = 4
 #: words of 64 bits of the bitmap of texts concerned
 BITMAP = 1 << 17
+#: bytes of text in a slice, and parts that rows go to whose fate is known in their slice
+_SLICE, _PARTS = 8 << 20, 1 << 16
 _KEY = ["k", "k2"]
 _PLACE = [*_KEY, "at"]
 _END = -(1 << 63)
@@ -314,49 +317,73 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """k, k2 and anchors (hashes of named runs that another text names, too, or the same text twice) of texts with any."""
+    """k, k2 and anchors (hashes of named runs that another text names, too, or the same text twice) of texts with any.
+
+    Of the texts of a slice that name one run, one speaks for all in the shuffle; the others, of which sharing is known
+    by then, are spread: a run in a third of all texts is a row for each slice in one task.
+    """
     k, k2 = _keys(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "t"):
+        for b in text_slices(batches, "t", _SLICE):
             row, _, _, named, anchor = windows(*string_buffers(b.column(2)), min_words)
             new = np.ones(len(row), bool)
             new[1:] = (named[1:] != named[:-1]) | (row[1:] != row[:-1])
             row, anchor = row[new], anchor[new]
-            order = np.lexsort((anchor, row))
+            order = np.lexsort((row, anchor))
             row, anchor = row[order], anchor[order]
             start = np.ones(len(row), bool)
             start[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(start)
             twice = np.diff(np.append(at, len(row))) > 1
-            take = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(anchor[at].view(np.int64)), pa.array(twice)], ["k", "k2", "a", "twice"])
+            row, anchor = row[at], anchor[at]
+            if not len(row):
+                continue
+            first = np.ones(len(row), bool)
+            first[1:] = anchor[1:] != anchor[:-1]
+            run_of, heads = np.cumsum(first) - 1, np.flatnonzero(first)
+            key = b.column(0).to_numpy()[row]
+            # copies of a text have one key, so they don't make its runs shared
+            shared = np.logical_or.reduceat(twice | (key != key[heads][run_of]), heads)[run_of]
+            part = np.where(first | ~shared, 0, 1 + key % _PARTS)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(shared), pa.array(part.astype(np.int32))], ["k", "k2", "a", "known", "part"])
 
     some = docs.where(F.col(text_col).isNotNull()).select(k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
-    named = some.mapInArrow(run, "k long, k2 long, a long, twice boolean")
-    # counted before the shuffle, so that a run in a third of all texts is a few rows a task; copies of a text have one
-    # key, so they don't make its runs shared. The runs of the texts are made again, not stored
-    repeated = named.groupBy("a").agg(F.bool_or("twice").alias("t"), F.min("k").alias("least"), F.max("k").alias("most")).where("t or least < most")
-    repeated = materialise(repeated.select("a"), "repeated")
-    hashes = lambda c: (c, F.xxhash64(c))
-    k, k2 = hashes(F.col("a"))
-    found = likely(named, repeated.select(k.alias("k"), k2.alias("k2")), hashes(F.col("a")), bitmap_words(repeated.count())).where("__qw_likely")
-    return found.join(repeated, "a").groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
+    named = some.mapInArrow(run, "k long, k2 long, a long, known boolean, part int")
+    w = Window.partitionBy("a", "part")
+    found = named.withColumn("s", F.max("known").over(w) | (F.min("k").over(w) < F.max("k").over(w))).where("s")
+    return found.groupBy(*_KEY).agg(F.collect_set("a").alias("anchors"))
 
 
 def placed_windows(texts: DataFrame, min_words: int) -> DataFrame:
-    """g (hash), id, k, k2 and at (first word) of the windows of `texts` (id, k, k2, anchors, t) that name an anchor."""
+    """g (hash), id, k, k2 and at (first word) of the windows of `texts` (id, k, k2, anchors, t) that name an anchor; and
+    part: 0, or another number if an equal window of the same slice is known to stand earlier."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "t"):
+        for b in text_slices(batches, "t", _SLICE):
             row, at, g, _, anchor = windows(*string_buffers(b.column(4)), min_words)
-            # an anchor of another text of the batch does no harm: a window of one place isn't deleted
+            # an anchor of another text of the slice does no harm: a window of one place isn't deleted
             on = np.isin(anchor, _flat(b.column(3)).view(np.uint64))
-            take = pa.array(row[on])
-            yield pa.RecordBatch.from_arrays([pa.array(g[on].view(np.int64)), *(b.column(c).take(take) for c in (0, 1, 2)), pa.array(at[on].astype(np.int32))], ["g", "id", *_PLACE])
-
-    return texts.select("id", *_KEY, "anchors", "t").mapInArrow(run, f"g long, id {id_type}, k long, k2 long, at int")
+            row, at, g = row[on], at[on], g[on]
+            if not len(row):
+                continue
+            order = pc.sort_indices(pa.table(b.columns[:3], names=["id", "k", "k2"]), sort_keys=[("id", "ascending"), ("k", "ascending"), ("k2", "ascending")], null_placement="at_end").to_numpy()
+            k, k2 = b.column(1).to_numpy(), b.column(2).to_numpy()
+            rank = np.empty(len(order), np.int64)  # rows of one text are one document
+            rank[order] = np.cumsum(np.append(False, (k[order[1:]] != k[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])))
+            order = np.lexsort((at, rank[row], g))
+            row, at, g = row[order], at[order], g[order]
+            first = np.ones(len(row), bool)
+            first[1:] = g[1:] != g[:-1]
+            head = np.flatnonzero(first)[np.cumsum(first) - 1]
+            earliest = (rank[row] == rank[row[head]]) & (at == at[head])
+            part = np.where(earliest, 0, 1 + (k[row] + at) % _PARTS)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(b.column(c).take(take) for c in (0, 1, 2)), pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32))], ["g", "id", *_PLACE, "part"])
+
+    return texts.select("id", *_KEY, "anchors", "t").mapInArrow(run, f"g long, id {id_type}, k long, k2 long, at int, part int")
 
 
 def _is_later(id_: Column, first: Column) -> Column:
@@ -371,10 +398,8 @@ def deleted_windows(docs: DataFrame, copied: DataFrame, id_col: str, text_col: s
     texts = some.select(F.col(id_col).alias("id"), k.alias("k"), k2.alias("k2"), F.col(text_col).alias("t"))
     own = texts.join(anchors.hint("shuffle_hash"), _KEY).where(~_is_later(F.col("id"), F.col("first")))
     place = F.struct(F.col("id").isNull().alias("n"), "id", *_PLACE)
-    found = materialise(placed_windows(own, min_words), "windows")
-    firsts = found.groupBy("g").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").select("g", "o")
-    # of the join's sides a window in very many texts is split by AQE, as it isn't sorted
-    return found.join(firsts, "g").where(place != F.col("o")).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
+    found = placed_windows(own, min_words).withColumn("o", F.min(place).over(Window.partitionBy("g", "part")))
+    return found.where((F.col("part") > 0) | (place != F.col("o"))).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
 
 
 def without_words(text: str, gone: np.ndarray, spans: tuple[np.ndarray, np.ndarray]) -> str | None:
