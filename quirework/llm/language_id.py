@@ -33,6 +33,8 @@ for _c in range(26):
     _FOLD[97 + _c] = _FOLD[65 + _c] = 1 + _c
 _FOLD[128:] = np.arange(27, 155)
 LETTERS = 155
+#: bytes of text that are made vectors at a time: a worker's memory follows it
+SLICE = 1 << 20
 _SPACE = 0
 
 
@@ -143,7 +145,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "do
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for b in text_slices(batches, "t"):
+        for b in text_slices(batches, "t", SLICE):
             codes, row = ngram_codes(*string_buffers(b.column(0)), n)
             names, index = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
             for k, name in enumerate(names):
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
     languages = profiles.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "t"):
+        for b in text_slices(batches, "t", SLICE):
             best, cosine, margin, ok = classify(b.column(1), profiles)
             names = pa.array([languages[k] if k >= 0 else None for k in best], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(cosine), pa.array(margin), pa.array(ok)], [id_col, "language", "cosine", "margin", "accepted"])
@@ -212,7 +214,7 @@ def keep_accepted(docs: DataFrame, profiles: Profiles, *, text_col: str = "text"
     """The rows of `docs`, all columns, whose language is recognised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text_col):
+        for b in text_slices(batches, text_col, SLICE):
             yield b.filter(pa.array(classify(b.column(b.schema.get_field_index(text_col)), profiles)[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,7 +41,7 @@ FIRST = 4
 #: words of 64 bits of the bitmap of texts concerned
 BITMAP = 1 << 17
 #: bytes of text in a slice, and parts that rows go to whose fate is known in their slice
-_SLICE, _PARTS = 8 << 20, 1 << 16
+_SLICE, _PARTS = 2 << 20, 1 << 16
 _KEY = ["k", "k2"]
 _PLACE = [*_KEY, "at"]
 _END = -(1 << 63)
