@@ -26,13 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import text_slices, trimmed
 from ._hashing import string_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pieces whose encodings a worker keeps at most; it then starts again with none
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
+#: pairs of tokens of which a worker remembers whether they fit at most
+KEPT_PAIRS = 400_000
 _NO_LIMIT = 1 << 62
 
 
@@ -138,7 +140,7 @@ class Encoder(dict):
                         break
                     ok = compatible.get((last, token))
                     if ok is None:
-                        if len(compatible) > 4_000_000:
+                        if len(compatible) > KEPT_PAIRS:
                             compatible.clear()
                         ok = compatible[last, token] = self._fits(last, token)
                     if ok:
@@ -230,6 +232,7 @@ def encode(df: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("d
     key = (vocabulary, pattern)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "tokens array<int>, n_tokens int, decoded_ok boolean"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared)
         decoder = Decoder(encoder.tokens)
@@ -261,6 +264,7 @@ def decode(df: DataFrame, *, tokens_col: str = "tokens", keep: tuple[str, ...] =
     shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "text string"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for b in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import text_slices, trimmed
 from ._hashing import string_buffers
 
 RESULT = "{id} {id_type}, language string, cosine double, margin double, accepted boolean"
@@ -143,6 +143,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "do
                 narrow = narrow.where((F.col("l") != lang) | (hashed < int(share / many * (1 << 30))))
     n = settings.n
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for b in text_slices(batches, "t", SLICE):
@@ -201,6 +202,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
     schema = RESULT.format(id=f"`{id_col}`", id_type=dict(docs.select(id_col).dtypes)[id_col])
     languages = profiles.languages
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "t", SLICE):
             best, cosine, margin, ok = classify(b.column(1), profiles)
@@ -213,6 +215,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
 def keep_accepted(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose language is recognised."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text_col, SLICE):
             yield b.filter(pa.array(classify(b.column(b.schema.get_field_index(text_col)), profiles)[3]))

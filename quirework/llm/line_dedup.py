@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import likely, materialise, text_slices
+from ._common import likely, materialise, text_slices, trimmed
 from ._hashing import VERBATIM, mix, string_buffers, word_hashes, word_spans
 
 MIN_WORDS = 25
@@ -89,6 +89,7 @@ def suffixes(texts: DataFrame, min_words: int) -> DataFrame:
     ids and a rank, 0), and g and m: hash and number of the first lines that hold `min_words` words, null if none do."""
     id_type = texts.schema["id"].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
@@ -215,6 +216,7 @@ def neighbours(array: DataFrame, texts: DataFrame) -> DataFrame:
 def earlier_runs(pairs: DataFrame) -> DataFrame:
     """For each suffix of which a beginning also stands earlier: k, k2, at and the most lines (best)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         stack: list[list] = []  # [ord, lcp with the one below, place]; ord grows upwards
@@ -324,6 +326,7 @@ def shared_anchors(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
     """
     k, k2 = _keys(text_col)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "t", _SLICE):
             row, _, _, named, anchor = windows(*string_buffers(b.column(2)), min_words)
@@ -361,6 +364,7 @@ def placed_windows(texts: DataFrame, min_words: int) -> DataFrame:
     part: 0, or another number if an equal window of the same slice is known to stand earlier."""
     id_type = texts.schema["id"].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "t", _SLICE):
             row, at, g, _, anchor = windows(*string_buffers(b.column(4)), min_words)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bitmap_words, likely, materialise, partitions_for, text_slices, unit_hash
+from ._common import bitmap_words, likely, materialise, partitions_for, text_slices, trimmed, unit_hash
 from ._hashing import mix, string_buffers, word_hashes
 
 BLOCKS, UNITS, UNIT_BITS = 7, 6, 3
@@ -171,6 +171,7 @@ def _binary16(fp: np.ndarray) -> pa.Array:
 def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, unit (a hash of the text) and fp (16 bytes, null without words) of every row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             fp, words = fingerprints(*string_buffers(b.column(2)))
@@ -186,6 +187,7 @@ def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def near_edges(nodes: DataFrame, count: int) -> DataFrame:
     """Edges (u, v) between near fingerprints among the distinct `nodes.fp`."""
 
+    @trimmed
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -196,6 +198,7 @@ def near_edges(nodes: DataFrame, count: int) -> DataFrame:
                 signed = fp.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(signed[:, 0], many)), pa.array(np.repeat(signed[:, 1], many))], ["k", "a", "b"])
 
+    @trimmed
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[], [], []]
         for b in batches:
