@@ -37,7 +37,8 @@ BLOCKS, UNITS, UNIT_BITS = 7, 6, 3
 MAX_DISTANCE = 20
 #: units of one block at least that near fingerprints share
 MIN_SHARED = UNITS - MAX_DISTANCE // BLOCKS
-POSTINGS_PER_PARTITION = 2_000_000
+#: a worker takes about 100 bytes a posting while it compares a partition
+POSTINGS_PER_PARTITION = 500_000
 _COMBOS = np.array(list(combinations(range(UNITS), MIN_SHARED)))
 _KEY_BITS = MIN_SHARED * UNIT_BITS
 _SEEDS = (np.uint64(0x5157), np.uint64(0x9E3779B97F4A7C15))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,16 @@ def test_defined_results(spark):
     assert S.drop_near_copies(df.limit(0)).count() == 0
     groups = S.groups(df.where(F.col("text") == t))
     assert sorted(((r.id, r.group_id, r.group_size, r.kept) for r in groups.collect()), key=str) == sorted([(1, 1, 4, True), (1, 1, 4, False), (2, 1, 4, False), (None, 1, 4, False)], key=str)
+
+
+def test_a_partition_of_postings_is_compared_in_bounded_memory():
+    """Two workers of an executor do so at once, beside a heap that has most of its memory."""
+    fp = np.random.default_rng(2).integers(0, 1 << 63, (S.POSTINGS_PER_PARTITION // (S.BLOCKS * len(S._COMBOS)), 2)).astype(np.uint64)
+    keys = S.posting_keys(fp)
+    each = np.repeat(fp, keys.shape[1], axis=0)
+    tracemalloc.start()
+    try:
+        S.list_edges(keys.ravel(), each)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
