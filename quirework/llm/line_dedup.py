@@ -465,7 +465,9 @@ def _without_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     joined = all_docs.where("__qw_likely").drop("__qw_likely").withColumns({"__qw_a": k, "__qw_b": k2}).join(hits.hint("shuffle_hash"), same, "left")
     later = _is_later(F.col(id_col), F.col("__qw_first"))
     concerned = F.when(later | F.col("__qw_ats").isNotNull(), F.col(text_col))
-    out = joined.withColumn("__qw_e", edit(concerned, F.when(~later, F.col("__qw_ats")), later))
+    # declared so, a filter of its result isn't pushed below it, which would edit each text twice, in a second worker
+    once = edit.asNondeterministic()
+    out = joined.withColumn("__qw_e", once(concerned, F.when(~later, F.col("__qw_ats")), later))
     changed = F.col("__qw_e.deleted") > 0
     edited = out.withColumns({"__qw_deleted": F.col("__qw_e.deleted"), "__qw_left": F.col("__qw_e.left"), text_col: F.when(changed, F.col("__qw_e.text")).otherwise(F.col(text_col))})
     own = [*docs.columns, "__qw_deleted", "__qw_left"]

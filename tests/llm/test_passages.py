@@ -49,3 +49,13 @@ def test_passage_within_lines(spark):
     rows = [(1, "own one " + " ".join(p) + " stops one"), (2, "own two\nbegins " + " ".join(p[:30]) + "\n" + " ".join(p[30:]) + " end\ntwo"), (3, "own three\n" + " ".join(p) + " goes on")]
     out = L.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "own two\nbegins end\ntwo", 3: "own three\ngoes on"}
+
+
+def test_texts_are_edited_once(spark):
+    """Dropping the texts that lose all words runs the edit in one worker, not in a second one for the filter."""
+    t = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, t, 1), (2, t, 1), (3, "a " + t + " b", 1), (4, None, 1)], "doc_id long, text string, n_chars long")
+    out = L.drop_repeated_runs(docs, count_col="n_chars")
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, t, 1), (3, "a b", 3), (4, None, 1)]
