@@ -6,8 +6,8 @@ before it (two tokens may stand side by side only if merging their bytes by rank
 alone; memoised), else tries the next shorter token, else steps back. The first sequence that reaches the end is exactly
 what the rank-ordered merges give, without running them.
 
-Pieces come from the tokenizer's pattern; the encodings of pieces are kept between documents (dropped and begun anew
-when there are many, so memory is bounded).
+Pieces come from the tokenizer's pattern; the encodings of pieces are kept between the documents of a partition (dropped
+and begun anew after the text in which they get many or long), and whether pairs of tokens fit in a table of fixed size.
 
 Defined results: a null text gives null tokens; an empty text an empty list; texts are encoded whole, however long; the
 strings of special tokens are ordinary text; repeated rows give repeated results; other columns are kept by
@@ -31,10 +31,14 @@ from ._hashing import string_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: pieces whose encodings a worker keeps at most; it then starts again with none
-KEPT_PIECES = 200_000
-#: pairs of tokens of which a worker remembers whether they fit at most
-KEPT_PAIRS = 400_000
+#: bytes of pieces and their encodings, about, that a worker keeps at most; after that text it starts again with none
+KEPT_BYTES = 32 << 20
+#: bytes that a kept piece takes besides its characters and tokens
+_PIECE_BYTES = 150
+#: pairs of tokens of which a worker remembers whether they fit at most, a power of 2
+KEPT_PAIRS = 1 << 18
+#: bytes of text that are encoded at a time
+SLICE = 1 << 19
 _NO_LIMIT = 1 << 62
 
 
@@ -89,12 +93,13 @@ class Encoder(dict):
         self.pair = {s: i for i, s in enumerate(splits) if s[0] != i}
         # the longest shorter token that a token begins with
         self.shorter = [next((rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in rank), -1) for t in tokens]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        # at a pair's place twice its number, and 1 more if it fits; pairs with the same place replace each other
+        self.compatible = array("q", [-1]) * KEPT_PAIRS
         self._forget()
 
     def _forget(self) -> None:
         self.clear()
-        self.flat, self.sizes = array("i"), array("i")
+        self.flat, self.sizes, self.kept = array("i"), array("i"), 0
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens would leave the border between them."""
@@ -124,7 +129,7 @@ class Encoder(dict):
         if whole is not None:
             return [whole]
         length, shorter, compatible = self.length, self.shorter, self.compatible
-        n = len(piece)
+        n, many, mask = len(piece), len(self.tokens), KEPT_PAIRS - 1
         longest = [-1] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # ends ascend, so the longest stays
@@ -138,12 +143,11 @@ class Encoder(dict):
                 if open_[end]:
                     if last < 0:
                         break
-                    ok = compatible.get((last, token))
-                    if ok is None:
-                        if len(compatible) > KEPT_PAIRS:
-                            compatible.clear()
-                        ok = compatible[last, token] = self._fits(last, token)
-                    if ok:
+                    pair = last * many + token
+                    known = compatible[pair & mask]
+                    if known >> 1 != pair:
+                        known = compatible[pair & mask] = 2 * pair + self._fits(last, token)
+                    if known & 1:
                         break
                 token = shorter[token]
             if token >= 0:
@@ -165,27 +169,36 @@ class Encoder(dict):
         k = self[piece] = len(self.sizes)
         self.sizes.append(len(ids))
         self.flat.extend(ids)
+        self.kept += _PIECE_BYTES + len(piece) + 4 * len(ids)
         return k
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all token ids, offsets by text)."""
-        if len(self.sizes) > KEPT_PIECES:
-            self._forget()
         get, findall = self.__getitem__, self.findall
-        parts, counts = [], np.zeros(len(texts), np.int64)
+        parts, done, totals = [], [], []
         for k, text in enumerate(texts):
             pieces = findall(text)
-            counts[k] = len(pieces)
-            parts.append(np.fromiter(map(get, pieces), np.int64, len(pieces)))
-        index = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            parts.append(np.fromiter(map(get, pieces), np.int32, len(pieces)))
+            if self.kept > KEPT_BYTES or k + 1 == len(texts):
+                ids, sizes = self._gather(parts)
+                done.append(ids)
+                totals.append(sizes)
+                parts = []
+                if self.kept > KEPT_BYTES:
+                    self._forget()
+        ids = np.concatenate(done) if done else np.zeros(0, np.int32)
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate(totals) if totals else np.zeros(0, np.int64))])
+
+    def _gather(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of texts whose pieces have these indices, number of ids by text)."""
+        index = np.concatenate(parts)
         sizes = np.array(self.sizes, np.int64)
         flat = np.array(self.flat, np.int32)
         starts = np.cumsum(sizes) - sizes
         own = sizes[index]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
-        piece_ends = np.concatenate([[0], ends])
-        return ids, piece_ends[np.concatenate([[0], np.cumsum(counts)])]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(starts[index] - ends[:-1], own) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])])])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -236,7 +249,7 @@ def encode(df: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared)
         decoder = Decoder(encoder.tokens)
-        for b in text_slices(batches, "__text"):
+        for b in text_slices(batches, "__text", SLICE):
             col = b.column(b.num_columns - 1)
             null = np.asarray(col.is_null())
             texts = col.fill_null("")
@@ -254,6 +267,7 @@ def encode(df: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("d
             if null.any():
                 lists = lists.take(pa.array(np.arange(len(null)), mask=null))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(offsets).astype(np.int32), mask=null), pa.array(ok, mask=null)], [*keep, *results])
+        encoder._forget()  # workers live on
 
     return df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

@@ -53,3 +53,28 @@ def test_defined_results(spark, reference):
     assert B.encode(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         B.encode(df.withColumnRenamed("token", "tokens"), keep=("tokens",))
+
+
+def test_kept_pieces_are_bounded_within_a_batch(reference):
+    """A batch with more distinct pieces than are kept, and a text with more than that: same tokens, and few stay."""
+    tokens = B.read_ranks(B.VOCABULARY)
+    encoder = B.Encoder(tokens, B.split_table(tokens))
+    texts = [" ".join(f"{k:x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(at, at + 1000)) for at in range(0, 260_000, 1000)]
+    texts[1:1] = ["", " ".join(texts[:3])]
+    ids, ends = encoder.encode_batch(texts)
+    assert len(encoder) < 200_000 and len(encoder.compatible) <= B.KEPT_PAIRS
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == reference.encode_ordinary_batch(texts, num_threads=4)
+
+
+def test_workers_keep_no_pieces_after_a_partition(spark):
+    import pyarrow as pa
+
+    def kept(batches):
+        from quirework.llm import bpe
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, bpe._ENCODERS.values()))], pa.int64())], ["n"])
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).repartition(4)
+    assert B.encode(docs).where("decoded_ok").count() == 20
+    assert {r.n for r in spark.range(0, 32, 1, 32).mapInArrow(kept, "n long").collect()} == {0}
