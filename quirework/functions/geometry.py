@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -332,6 +334,16 @@ def hull_points(pts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return lower[:-1] + upper[:-1]
 
 
+def flat_points(points: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, x and y of the points of an array of lists; none for a null."""
+    n = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = points.flatten()
+    x, y = (pc.struct_field(flat, i) for i in (0, 1))
+    if x.null_count or y.null_count:
+        raise ValueError("a point has no x or no y")
+    return np.repeat(np.arange(len(n)), n), x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64)
+
+
 @F.pandas_udf(POINTS)
 def hull(pts: pd.Series) -> pd.Series:
     """Convex hull of an array of points; null for null."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,19 +127,82 @@ def above_and_below(outline: list[tuple[int, int]], baseline: list[tuple[int, in
 _HEIGHTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("max", "min", "mean", "median")])
 
 
-@F.pandas_udf(_HEIGHTS)
-def text_heights(outline: pd.Series, baseline: pd.Series) -> pd.DataFrame:
+def _height_of(o: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple | None:
+    """The heights of one line, point by point."""
+    step = 5 if max(p[0] for p in b) - min(p[0] for p in b) <= 50 else 50
+    above, _ = above_and_below(o, b, step)
+    base, top = _grid(b, step), _grid(above, step)
+    h = np.array([base[x] - top[x] for x in base if x in top])
+    return (int(h.max()), int(h.min()), int(round(h.mean())), int(np.median(h))) if len(h) else None
+
+
+def _grids(row: np.ndarray, x: np.ndarray, y: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_grid` of many lines at once: row, x and y of the samples, for points in the order of their rows; `step` has a
+    number for each row. Points may not go to the left."""
+    a = np.flatnonzero((row[1:] == row[:-1]) & (x[1:] != x[:-1])) if len(row) else np.zeros(0, np.int64)
+    px, py, qx, qy, r = x[a], y[a], x[a + 1], y[a + 1], row[a]
+    s = step[r]
+    start = px + s - px % s
+    n = np.maximum((qx - qx % s - start) // s + 1, 0)
+    k = np.repeat(np.arange(len(a)), n)
+    at = start[k] + (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)) * s[k]
+    slope = (py - qy) / (qx - px)
+    return r[k], at, py[k] - np.trunc((at - px[k]) * slope[k]).astype(np.int64)
+
+
+def _heights(rows: int, o: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """(rows, 4) heights, -1 in a fifth column where there are none; o and b: row, x and y of the points of outlines, and
+    of baselines that don't go to the left."""
+    out = np.zeros((rows, 5), np.int64)
+    out[:, 4] = -1
+    far = np.iinfo(np.int64).max
+    low, high = np.full((2, rows), far), np.full((2, rows), -far)
+    for k, (row, x, _) in enumerate((o, b)):
+        np.minimum.at(low[k], row, x)
+        np.maximum.at(high[k], row, x)
+    meets = (high[0] >= low[1]) & (low[0] <= high[1]) & (low[0] < far) & (low[1] < far)
+    step = np.where(meets & (high[1] - np.where(low[1] < far, low[1], 0) <= 50), 5, 50)
+    o, b = (tuple(c[meets[p[0]]] for c in p) for p in (o, b))
+    r, x, y = _grids(*b, step)
+    if not len(r):
+        return out
+    o = tuple(c[np.lexsort((o[1], o[0]))] for c in o)  # from the left, equal ones as they come
+    first, many = np.searchsorted(r, np.arange(rows)), np.bincount(r, minlength=rows)
+    o = tuple(c[many[o[0]] > 0] for c in o)
+    # a point goes with the first sample that no later one is nearer than
+    wide = 1 + 2 * (max(int(np.abs(x).max()), int(np.abs(o[1]).max()) if len(o[1]) else 0) + 1) * 2
+    middle = np.append(x[:-1] + x[1:], 0)
+    last = np.append(r[1:] != r[:-1], True)
+    k = np.searchsorted(r * wide + np.where(last, wide // 2, middle), o[0] * wide + 2 * o[1])
+    above = o[2] < y[k]
+    tr, tx, ty = _grids(*(c[above] for c in o), step)
+    if not len(tr):
+        return out
+    key, own = tr * wide + tx, r * wide + x
+    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    both = key[at] == own
+    r, h = r[both], (y - ty[at])[both]
+    if not len(r):
+        return out
+    order = np.lexsort((h, r))
+    r, h = r[order], h[order]
+    start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    n = np.diff(np.append(start, len(r)))
+    mean = np.rint(np.add.reduceat(h, start) / n).astype(np.int64)
+    middle = np.trunc((h[start + (n - 1) // 2] + h[start + n // 2]) / 2).astype(np.int64)
+    out[r[start]] = np.stack([h[start + n - 1], h[start], mean, middle, np.zeros(len(n), np.int64)], axis=1)
+    return out
+
+
+@F.arrow_udf(_HEIGHTS)
+def text_heights(outline: pa.Array, baseline: pa.Array) -> pa.Array:
     """Greatest, least, mean (half to even) and median (cut) height of a line's text above its baseline; nulls if unknown."""
-    rows = []
-    for o, b in zip(outline, baseline):
-        got = (None,) * 4
-        if o is not None and b is not None and len(o) and len(b):
-            o, b = [(p["x"], p["y"]) for p in o], [(p["x"], p["y"]) for p in b]
-            step = 5 if max(p[0] for p in b) - min(p[0] for p in b) <= 50 else 50
-            above, _ = above_and_below(o, b, step)
-            base, top = _grid(b, step), _grid(above, step)
-            h = pd.Series([base[x] - top[x] for x in base if x in top])
-            if len(h):
-                got = (int(h.max()), int(h.min()), int(round(h.mean())), int(h.median()))
-        rows.append(got)
-    return pd.DataFrame(rows, columns=["max", "min", "mean", "median"]).astype("Int32")
+    o, b = G.flat_points(outline), G.flat_points(baseline)
+    got = _heights(len(outline), o, b)
+    back = (b[0][1:] == b[0][:-1]) & (b[1][1:] < b[1][:-1])  # baselines that go to the left, one by one
+    for k in np.unique(b[0][1:][back]):
+        one = [list(zip(p[1][i:j].tolist(), p[2][i:j].tolist())) for p in (o, b) for i, j in [np.searchsorted(p[0], (k, k + 1))]]
+        own = _height_of(*one) if one[0] else None
+        got[k] = (*own, 0) if own else (0, 0, 0, 0, -1)
+    unknown = got[:, 4] < 0
+    return pa.StructArray.from_arrays([pa.array(got[:, i].astype(np.int32), mask=unknown) for i in range(4)], names=["max", "min", "mean", "median"])
