@@ -344,14 +344,61 @@ def flat_points(points: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64)
 
 
-@F.pandas_udf(POINTS)
-def hull(pts: pd.Series) -> pd.Series:
+def hull_chain(row: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the lower hull's corners in each row, from the left; points are distinct and sorted by row, x and y.
+
+    A point that isn't below the line from one neighbour to the other is no corner; such points go until none is left.
+    """
+    at = np.arange(len(row))
+    while True:
+        r, px, py = row[at], x[at], y[at]
+        inner = np.flatnonzero((r[2:] == r[:-2])) + 1 if len(at) > 2 else np.zeros(0, np.int64)
+        a, c = inner - 1, inner + 1
+        out = (px[inner] - px[a]) * (py[c] - py[a]) <= (py[inner] - py[a]) * (px[c] - px[a])
+        if not out.any():
+            return at
+        at = np.delete(at, inner[out])
+
+
+def _sides(row: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the cross products of neighbours in each row."""
+    same = row[1:] == row[:-1]
+    cross = (x[:-1] * y[1:] - x[1:] * y[:-1])[same]
+    out = np.zeros(rows, np.int64)
+    np.add.at(out, row[1:][same], cross)
+    return out
+
+
+def hull_areas(points: pa.Array) -> np.ndarray:
+    """Areas of the convex hulls of lists of points."""
+    row, x, y = flat_points(points)
+    if not len(row):
+        return np.zeros(len(points))
+    if max(np.abs(x).max(), np.abs(y).max()) >= 1 << 24:  # else products and sums are exact
+        return np.array([_area(hull_points(zip(x[i:j].tolist(), y[i:j].tolist()))) for i, j in np.searchsorted(row, np.stack([np.arange(len(points)), np.arange(len(points)) + 1], axis=1)).tolist()], float)
+    order = np.lexsort((y, x, row))
+    row, x, y = row[order], x[order], y[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    row, x, y = row[new], x[new], y[new]
+    low = hull_chain(row, x, y)
+    high = len(row) - 1 - hull_chain(row[::-1], -x[::-1], -y[::-1])[::-1]  # seen from the other side
+    return np.abs(_sides(row[low], x[low], y[low], len(points)) - _sides(row[high], x[high], y[high], len(points))) / 2
+
+
+def _area(corners: list[tuple[int, int]]) -> float:
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1]))) / 2
+
+
+@F.arrow_udf(POINTS)
+def hull(pts: pa.Array) -> pa.Array:
     """Convex hull of an array of points; null for null."""
-    return pd.Series([None if p is None else [{"x": x, "y": y} for x, y in hull_points((e["x"], e["y"]) for e in p)] for p in pts])
+    return pa.array([None if p is None else [{"x": x, "y": y} for x, y in hull_points((e["x"], e["y"]) for e in p)] for p in pts.to_pylist()], pts.type)
 
 
-def hull_area(pts: Column) -> Column:
-    return F.when(F.size(pts) <= 2, 0.0).otherwise(shoelace(hull(pts)))
+@F.arrow_udf(T.DoubleType())
+def hull_area(pts: pa.Array) -> pa.Array:
+    """Area of the convex hull of an array of points; null for null."""
+    return pa.array(hull_areas(pts), mask=pts.is_null().to_numpy(zero_copy_only=False))
 
 
 @F.pandas_udf(T.BooleanType())

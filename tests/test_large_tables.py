@@ -1,8 +1,10 @@
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 
+from quirework.functions import geometry as G
 from quirework.operators import columns as C
 
 POINTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
@@ -27,3 +29,14 @@ def test_text_heights_of_many_lines():
     got = C.text_heights.func(outline, base)
     assert time.thread_time() - start < 3  # point by point it takes about 10 s
     assert set(map(str, got.to_pylist())) == {str({"max": 30, "min": 30, "mean": 30, "median": 30})}
+
+
+def test_hull_areas_of_many_rows():
+    rnd = random.Random(4)
+    for wide in (6, 500, 1 << 25):
+        lists = [None if rnd.random() < 0.05 else [{"x": rnd.randint(-wide, wide), "y": rnd.randint(-wide, wide)} for _ in range(rnd.choice([0, 1, 2, 3, 5, 30]))] for _ in range(1000)]
+        got = G.hull_area.func(pa.array(lists, POINTS)).to_pylist()
+        want = [None if p is None else G._area(G.hull_points((e["x"], e["y"]) for e in p)) if len(p) > 2 else 0.0 for p in lists]
+        assert got == want
+    arc = [{"x": x, "y": x * x} for x in range(-2000, 2000)]
+    assert np.isclose(G.hull_areas(pa.array([arc], POINTS))[0], G._area(G.hull_points((e["x"], e["y"]) for e in arc)))
