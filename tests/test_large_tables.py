@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from quirework.functions import geometry as G
 from quirework.operators import columns as C
+from quirework.operators import search as S
 
 POINTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -40,3 +41,27 @@ def test_hull_areas_of_many_rows():
         assert got == want
     arc = [{"x": x, "y": x * x} for x in range(-2000, 2000)]
     assert np.isclose(G.hull_areas(pa.array([arc], POINTS))[0], G._area(G.hull_points((e["x"], e["y"]) for e in arc)))
+
+
+def test_nearest_words_by_bitmaps():
+    rnd = random.Random(8)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "É", "x", "9", "\U0001f600"]
+    words = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 7))) for _ in range(30_000)})
+    asked = [rnd.choice(words) for _ in range(150)] + ["zz", "zzthqq"]
+    grams = lambda w: frozenset(f"#{w}#"[i] + f"#{w}#"[i + d] for d in (1, 2) for i in range(len(w) + 2 - d))
+    row, gram, many = S._gram_ids(pa.array([w.lower() for w in words + asked]), 1)
+    edge = np.searchsorted(row, np.arange(len(words), len(words) + len(asked) + 1))
+    sets = [grams(w.lower()) for w in words]
+    assert np.bincount(row)[: len(words)].tolist() == [len(s) for s in sets]
+    start = time.thread_time()
+    known = S._Vocabulary(row[: edge[0]], gram[: edge[0]], len(words), many)
+    got = [known.nearest(gram[a:b], 10) for a, b in zip(edge, edge[1:])]
+    assert time.thread_time() - start < 3
+    for k, q in enumerate(asked):
+        if k % 5 == 0 or k >= 150:
+            g = grams(q.lower())
+            score = np.array([len(g & s) / np.sqrt(float(len(g) * len(s))) for s in sets])
+            want = np.lexsort((np.arange(len(words)), -score))[:10]
+            want = want[score[want] > 0]
+            keep = np.lexsort((got[k][0], -got[k][1]))[:10]
+            assert got[k][0][keep].tolist() == want.tolist() and got[k][1][keep].tolist() == score[want].tolist()
