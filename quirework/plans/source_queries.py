@@ -18,27 +18,27 @@ def _xml(spark: SparkSession, sf: str) -> DataFrame:
     return page_xml.to_xml(lines, ["path"])
 
 
-def _scans(spark: SparkSession, sf: str) -> DataFrame:
-    return page_xml.parse(_xml(spark, sf))
+def _scans(spark: SparkSession, sf: str, **fields: list[str]) -> DataFrame:
+    return page_xml.parse(_xml(spark, sf), fields=fields)
 
 
 def xml_parse_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = page_xml.lines(_scans(spark, sf))
+    lines = page_xml.lines(_scans(spark, sf, lines=["region_id", "line_id", "text", "points", "baseline"]))
     box = G.Box.around(G.points(F.col("points")))
     return lines.select(F.col("path").cast("long").alias("scan"), F.col("region_id").alias("region"), "line_id", "text", box.text().alias("box"), "baseline")
 
 
 def xml_region_stats(spark: SparkSession, sf: str) -> DataFrame:
-    regions = page_xml.regions(_scans(spark, sf))
+    regions = page_xml.regions(_scans(spark, sf, regions=["region_id", "rank", "n_lines", "points"]))
     return regions.select(F.col("path").cast("long").alias("scan"), F.col("region_id").alias("region"), "rank", "n_lines", G.Box.around(G.points(F.col("points"))).text().alias("box"))
 
 
 def xml_document_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return page_xml.stats(_scans(spark, sf)).withColumn("path", F.col("path").cast("long"))
+    return page_xml.stats(_scans(spark, sf, regions=["kind"], lines=["text", "words"], cells=["cell_id"])).withColumn("path", F.col("path").cast("long"))
 
 
 def xml_words(spark: SparkSession, sf: str) -> DataFrame:
-    return page_xml.words(_scans(spark, sf)).groupBy("word").agg(F.count("*").alias("n"))
+    return page_xml.words(_scans(spark, sf, lines=["region_id", "line_id", "text", "words"])).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _custom(spark: SparkSession, sf: str) -> DataFrame:

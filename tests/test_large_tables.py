@@ -7,6 +7,7 @@ import pyarrow as pa
 from quirework.functions import geometry as G
 from quirework.operators import columns as C
 from quirework.operators import search as S
+from quirework.sources import page_xml
 
 POINTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -65,3 +66,38 @@ def test_nearest_words_by_bitmaps():
             want = want[score[want] > 0]
             keep = np.lexsort((got[k][0], -got[k][1]))[:10]
             assert got[k][0][keep].tolist() == want.tolist() and got[k][1][keep].tolist() == score[want].tolist()
+
+
+def test_plain_documents_read_by_patterns():
+    line = '<TextLine id="l{0}" custom="c"><Coords points="{0},1 9,1"/><Baseline points="0,5 9,5"/><TextEquiv conf="0.5"><Unicode>a &amp; {0}</Unicode></TextEquiv></TextLine>'
+    page = '<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="n"><Metadata><Creator>x</Creator></Metadata><Page imageFilename="f" imageWidth="9">{}</Page></PcGts>'
+    bodies = ["", '<TextRegion id="r">' + "".join(map(line.format, range(200))) + "</TextRegion>", '<TextRegion id="r"></TextRegion>', '<TextRegion id="r" type="t">\n<Coords points=""/>' + line.format(3) + "</TextRegion>"]
+    bodies += ['<TextRegion id="r" id="s"></TextRegion>', '<TextRegion id="r">' + line.format("z") + "</TextRegion>", '<TextRegion xmlns="u">' + line.format(1) + "</TextRegion>", "<TextRegion>" + line.format("&lt;") + "</TextRegion>", "<TextRegion>" + line.format(1) + "<!-- c --></TextRegion>", "<TextRegion>" + line.format("1") * 2]
+
+    def run(document):
+        try:
+            return page_xml.parse_document(document)
+        except Exception as e:
+            return type(e)
+
+    read = page_xml._read_plain
+    for body in bodies:
+        document = page.format(body)
+        got = run(document)
+        page_xml._read_plain = lambda *a: None
+        try:
+            assert got == run(document) == run(document.encode())
+        finally:
+            page_xml._read_plain = read
+    assert page_xml._read_plain(page.format(bodies[1]), None)["lines"][7]["text"] == "a & 7"
+
+
+def test_only_the_fields_asked_for_are_made(spark):
+    good = '<PcGts xmlns="n"><Page><TextRegion id="r"><TextLine id="a" xheight="3"><Coords points="1,2 3,4"/></TextLine></TextRegion></Page></PcGts>'
+    files = spark.createDataFrame([("a", good), ("b", good.replace('"3"', '"bad"'))], "path string, content string")
+    whole = page_xml.parse(files)
+    some = page_xml.parse(files, fields={"lines": ["points", "line_id"]})
+    assert some.columns == ["path", "lines", "error"]
+    keys = ["path", "error"]
+    assert page_xml.lines(some, keys).sort("path").collect() == page_xml.lines(whole, keys).select(*keys, "line_id", "points").sort("path").collect()
+    assert some.select(*keys).sort("path").collect() == whole.select(*keys).sort("path").collect()
