@@ -3,10 +3,12 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quirework.functions import geometry as G
 from quirework.operators import columns as C
 from quirework.operators import search as S
+from quirework.plans import catalogue, search_queries
 from quirework.sources import page_xml
 
 POINTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
@@ -101,3 +103,12 @@ def test_only_the_fields_asked_for_are_made(spark):
     keys = ["path", "error"]
     assert page_xml.lines(some, keys).sort("path").collect() == page_xml.lines(whole, keys).select(*keys, "line_id", "points").sort("path").collect()
     assert some.select(*keys).sort("path").collect() == whole.select(*keys).sort("path").collect()
+
+
+@pytest.mark.parametrize("name", ["merged_analyses", "position_totals", "typical_line_words", "line_word_break"])
+def test_words_of_lines_are_made_once(spark, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(search_queries, "materialise", lambda df, _: plans.append(df) or df)
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    for d in plans[:1] or [df]:
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
